@@ -29,10 +29,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     while heavy:
         level = (total - held) / heavy
         full = top.cast("double") <= F.lit(level) * F.col("weight")
-        now, heavy = (x or 0 for x in src.agg(F.sum(F.when(full, top)), F.sum(F.when(~full, F.col("weight")))).first())
-        if now == held:
+        now = tuple(x or 0 for x in src.agg(F.sum(F.when(full, top)), F.sum(F.when(~full, F.col("weight")))).first())
+        if now == (held, heavy):
             break
-        held = now
+        held, heavy = now
     return src.withColumn("target", F.least(top.cast("double"), F.lit(level) * F.col("weight")))
 
 
