@@ -31,6 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where columns of ``df`` have them already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, with its partitions and their order."""
     shared_dir(df.sparkSession)

@@ -145,6 +145,8 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """For each text the language with the most expected words, and its share of them."""
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
         if len(self.known) > REMEMBERED:
             self.forget()
         ids, lengths = [], []
@@ -161,7 +163,7 @@ class Model:
             self.table = np.concatenate((self.table, np.exp(np.maximum(sums - sums.max(1, keepdims=True), -30))))
         n = np.array(lengths)
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        if not n.sum() or not self.langs:
+        if not n.sum():
             return out
         full = np.flatnonzero(n)
         begin = np.cumsum(n[full]) - n[full]

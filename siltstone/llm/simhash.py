@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small_batches
+from .common import cut, free, slices, small_batches
 
 #: Fingerprints that one trie holds at most; a larger trie is dealt out as pairs of subtries.
 TRIE = 4096
@@ -271,7 +271,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) ->
     """
     found = near_duplicates(docs, words, distance)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
-    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.row").alias("_kept_row"))
-    marked = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    kept = marked.join(keep, marked["_row"] == keep["_kept_row"], "left_semi")
-    return kept.dropDuplicates(["_row"]).select(*[docs[c] for c in docs.columns])
+    row, kept_row = free(docs, "_row", "_kept_row")
+    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.row").alias(kept_row))
+    marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    kept = marked.join(keep, marked[row] == keep[kept_row], "left_semi")
+    return kept.dropDuplicates([row]).select(*[docs[c] for c in docs.columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import free, slices, small_batches
 
 #: Words that a unit has at least.
 WORDS = 8
@@ -179,12 +179,13 @@ def drop_repeats(docs: DataFrame, least: int = WORDS, doc_id: str = "doc_id", te
     but for ``removed`` and ``original_chars``, which are replaced where ``report`` asks for them.
     """
     found = spans(docs, least, doc_id, text)
+    row, at, cuts_, keeps_ = free(docs, "_row", "_at", "_cuts", "_keeps")
     lists = found.groupBy("row").agg(
-        F.collect_set(F.when(F.col("kind") == CUT, F.col("pos"))).alias("_cuts"), F.collect_set(F.when(F.col("kind") == KEEP, F.col("pos"))).alias("_keeps")
-    ).where(F.size("_cuts") > 0).withColumnRenamed("row", "_at")
-    marked = docs.withColumn("_row", F.xxhash64(doc_id, text))
+        F.collect_set(F.when(F.col("kind") == CUT, F.col("pos"))).alias(cuts_), F.collect_set(F.when(F.col("kind") == KEEP, F.col("pos"))).alias(keeps_)
+    ).where(F.size(cuts_) > 0).withColumnRenamed("row", at)
+    marked = docs.withColumn(row, F.xxhash64(doc_id, text))
     names = [c for c in docs.columns if not (report and c in ("removed", "original_chars"))]
-    met = marked.join(lists, marked["_row"] == lists["_at"], "left").select(*names, "_cuts", "_keeps")
+    met = marked.join(lists, marked[row] == lists[at], "left").select(*names, cuts_, keeps_)
     extra = [("removed", "array<struct<start:int,end:int>>"), ("original_chars", "int")] if report else []
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names] + [f"{n} {k}" for n, k in extra])
     gone = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -192,7 +193,7 @@ def drop_repeats(docs: DataFrame, least: int = WORDS, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
             texts, lost, sizes = [], [], []
-            for t, cuts, keeps in zip(b.column(text).to_pylist(), b.column("_cuts").to_pylist(), b.column("_keeps").to_pylist(), strict=True):
+            for t, cuts, keeps in zip(b.column(text).to_pylist(), b.column(cuts_).to_pylist(), b.column(keeps_).to_pylist(), strict=True):
                 out = removed(t, cuts, keeps or []) if t and cuts else []
                 lost.append([{"start": s, "end": e} for s, e in out])
                 sizes.append(None if t is None else len(t))

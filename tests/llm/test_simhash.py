@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from siltstone.llm import simhash as S
 
-SCHEMA = "doc_id long, text string, fp long, fingerprint string, row int"
+SCHEMA = "doc_id long, text string, fp long, fingerprint string, _row int"
 
 
 def slow_print(text):
