@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,23 @@ from pyspark.sql import functions as F
 
 from .common import cut, free, slices, small_batches
 
-#: Fingerprints that one trie holds at most; a larger trie is dealt out as pairs of subtries.
-TRIE = 4096
+#: Fingerprints that one trie holds at most; a larger trie is dealt out as pairs of parts.
+TRIE = 1 << 15
 #: Node pairs and links that are looked at in one step: this bounds a worker's memory.
 STEP = 1 << 18
+#: Slots of a sketch, one byte each: the similarity of two texts is known to about 0.035.
+SLOTS = 128
+#: Words whose hashes a worker remembers; then it forgets them and starts again.
+REMEMBERED = 200_000
+
+
+def bits(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, as a signed long: a bit is 1 if set in over half of them."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
+    h = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
+    for at in range(0, n, 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > n).view(">u8")[0].astype(np.uint64).astype(np.int64))
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -29,45 +43,100 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(tokens))
     h64 = xxhash.xxh64_intdigest
-    hashes = [h64(line[a:b], 42) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)]
-    n, ones = len(hashes), np.zeros(64, np.int64)
-    h = np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(n, 8)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)], axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n).view(">u8")[0].astype(np.uint64).astype(np.int64))
+    return bits(np.array([h64(line[a:b], 42) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
+
+
+class Words(dict):
+    """Word -> its 64-bit hash, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > REMEMBERED:
+            self.clear()
+        got = xxhash.xxh64_intdigest(word, 7)
+        if len(word) <= 64:
+            self[word] = got
+        return got
+
+
+_words = Words()
+
+
+def sketch(shingles: np.ndarray) -> bytes:
+    """One byte for each of SLOTS parts of the hash space: from the smallest hash there, or that of the next part that has one."""
+    slot = (shingles >> np.uint64(57)).astype(np.int64)
+    low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(low, slot, shingles & np.uint64((1 << 57) - 1))
+    full = np.flatnonzero(np.bincount(slot, minlength=SLOTS))
+    ahead = full[np.searchsorted(full, np.arange(SLOTS)) % len(full)]
+    away = (ahead - np.arange(SLOTS)) % SLOTS
+    mixed = (low[ahead] + away.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (doc_id, row, fp) for each document: the fingerprint as a signed long, and a hash of id and text."""
+def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes]:
+    """(id, fp, sketch) of a whole text: a hash of its words in order, the SimHash of its distinct words, and a sketch of its shingles.
+
+    A changed word changes one of the distinct words but ``words`` shingles, so near copies agree in more
+    bits of this fingerprint than of one over shingles. The sketch tells their similarity.
+    """
+    import xxhash
+
+    tokens = (text or "").encode().lower().split()
+    own = xxhash.xxh64_intdigest(b" ".join(tokens), 9)
+    own = own - (1 << 64) if own >> 63 else own
+    if not tokens:
+        return own, 0, bytes(SLOTS)
+    h = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
+    k = min(words, len(tokens))
+    grams = h[: len(h) - k + 1].copy()
+    for j in range(1, k):
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : len(h) - k + 1 + j]
+    grams = (grams ^ (grams >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return own, bits(np.unique(h)), sketch(grams ^ (grams >> np.uint64(29)))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
+    """One row (doc_id, row, id, fp) for each document, with a sketch if ``similar``.
+
+    ``row`` is a hash of id and text; ``id`` tells apart what is linked: fingerprints, or texts if ``similar``.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
-            fp = [fingerprint(t, words) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fp, pa.int64())], names=["doc_id", "row", "fp"])
+            texts = b.column("text").to_pylist()
+            if similar:
+                got = [signature(t, words) for t in texts]
+                more = [pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            else:
+                more = [pa.array([fingerprint(t, words) for t in texts], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *more], names=["doc_id", "row", "id", "fp", "sketch"][: 5 if similar else 4])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, row long, fp long")
+    return narrow.mapInArrow(run, "doc_id long, row long, id long, fp long" + ", sketch binary" * similar)
 
 
-def blocks(distance: int) -> list[tuple[int, int]]:
-    """(first bit, width) of ``distance + 1`` blocks of the 64 bits; fingerprints that link agree in one."""
-    edges = [round(i * 64 / (distance + 1)) for i in range(distance + 2)]
+def blocks(distance: int, agree: int) -> list[tuple[int, int]]:
+    """(first bit, width) of ``distance + agree`` blocks of the 64 bits; fingerprints that link agree in ``agree`` of them."""
+    n = distance + agree
+    edges = [round(i * 64 / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 class Forest:
     """Sorted runs of fingerprints as binary tries, and which of the fingerprints are linked so far."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys, n = keys, len(keys)
-        self.root = np.arange(n)
-        self.mixed = np.zeros(n + 1, np.int64)
+    def __init__(self, keys: np.ndarray, sketches: np.ndarray | None = None, similarity: float = 0.0):
+        self.keys, self.sketches = keys, sketches
+        self.least = similarity + (1 - similarity) / 256  # of slots that agree; some do by chance
+        self.root = np.arange(len(keys))
         self.settle()
 
     def settle(self) -> None:
         """Counts where neighbours differ in their root: a range without such a place is one component."""
-        self.mixed = np.concatenate(([0], np.cumsum(self.root[1:] != self.root[:-1]), [0])) if len(self.root) else self.mixed
+        self.mixed = np.concatenate(([0], np.cumsum(self.root[1:] != self.root[:-1])))
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         if not len(a):
@@ -77,7 +146,7 @@ class Forest:
             new = ra != rb
             a, b, ra, rb = a[new], b[new], ra[new], rb[new]
             np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while (step := self.root[self.root]).tobytes() != self.root.tobytes():
+            while not np.array_equal(step := self.root[self.root], self.root):
                 self.root = step
         self.settle()
 
@@ -94,7 +163,7 @@ class Forest:
         return lo
 
     def join(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, top: int, budget: int) -> None:
-        """Links all fingerprints of the range pairs that differ in at most ``budget`` bits.
+        """Links all fingerprints of the range pairs that differ in at most ``budget`` bits (and whose sketches are similar).
 
         Pairs of trie nodes go down together, from bit ``top``. A pair keeps the number of bits that its
         nodes differ in; it is pruned beyond the budget, and where both nodes are already one component.
@@ -103,116 +172,143 @@ class Forest:
         stack = [(alo, ahi, blo, bhi, np.zeros(len(alo), np.int64), top)]
         while stack:
             alo, ahi, blo, bhi, off, bit = stack.pop()
+            if len(alo) > STEP // 4:
+                half = len(alo) // 2
+                stack += [(alo[half:], ahi[half:], blo[half:], bhi[half:], off[half:], bit), (alo[:half], ahi[:half], blo[:half], bhi[:half], off[:half], bit)]
+                continue
             keep = (ahi > alo) & (bhi > blo) & (off <= budget)
             alo, ahi, blo, bhi, off = (x[keep] for x in (alo, ahi, blo, bhi, off))
             if not len(alo):
                 continue
             keep = ~(self.one(alo, ahi) & self.one(blo, bhi) & (self.root[alo] == self.root[blo]))
             alo, ahi, blo, bhi, off = (x[keep] for x in (alo, ahi, blo, bhi, off))
-            if not len(alo):
-                continue
-            pairs = (ahi - alo) * (bhi - blo)
-            small = (pairs <= 64) | (bit < 0)
+            small = ((ahi - alo) * (bhi - blo) <= 64) | (bit < 0)
             self.compare(alo[small], ahi[small], blo[small], bhi[small], budget)
             alo, ahi, blo, bhi, off = (x[~small] for x in (alo, ahi, blo, bhi, off))
-            for at in range(0, len(alo), STEP // 4):
-                a0, a1, b0, b1, o = (x[at : at + STEP // 4] for x in (alo, ahi, blo, bhi, off))
-                am, bm = self.halves(a0, a1, bit), self.halves(b0, b1, bit)
-                other = (a0 != b0) | (a1 != b1)
-                # 0 with 1 and, of two different nodes, 1 with 0: one more differing bit; deeper ones first
-                stack.append((np.concatenate((a0, am[other])), np.concatenate((am, a1[other])), np.concatenate((bm, b0[other])), np.concatenate((b1, bm[other])), np.concatenate((o + 1, o[other] + 1)), bit - 1))
-                stack.append((np.concatenate((a0, am)), np.concatenate((am, a1)), np.concatenate((b0, bm)), np.concatenate((bm, b1)), np.concatenate((o, o)), bit - 1))
+            if not len(alo):
+                continue
+            am, bm = self.halves(alo, ahi, bit), self.halves(blo, bhi, bit)
+            other = (alo != blo) | (ahi != bhi)
+            # 0 with 1 and, of two different nodes, 1 with 0: one more differing bit; the closer pairs go first
+            stack.append((np.concatenate((alo, am[other])), np.concatenate((am, ahi[other])), np.concatenate((bm, blo[other])), np.concatenate((bhi, bm[other])), np.concatenate((off, off[other])) + 1, bit - 1))
+            stack.append((np.concatenate((alo, am)), np.concatenate((am, ahi)), np.concatenate((blo, bm)), np.concatenate((bm, bhi)), np.concatenate((off, off)), bit - 1))
 
     def compare(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, budget: int) -> None:
+        """Compares all fingerprints of small nodes; of equal fingerprints' nodes, however large, in steps."""
         na, nb = ahi - alo, bhi - blo
         ends = np.cumsum(na * nb)
-        start = 0
-        while start < len(alo):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + STEP, "right")))
-            n = (na * nb)[start:stop]
-            which = np.repeat(np.arange(start, stop), n)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        total = int(ends[-1]) if len(ends) else 0
+        for at in range(0, total, STEP):
+            k = np.arange(at, min(at + STEP, total))
+            which = np.searchsorted(ends, k, "right")
+            k -= ends[which] - (na * nb)[which]
             a, b = alo[which] + k // nb[which], blo[which] + k % nb[which]
-            near = np.bitwise_count(self.keys[a] ^ self.keys[b]) <= budget
-            near &= a != b
-            self.link(a[near], b[near])
-            start = stop
+            near = (np.bitwise_count(self.keys[a] ^ self.keys[b]) <= budget) & (a != b) & (self.root[a] != self.root[b])
+            a, b = a[near], b[near]
+            if self.sketches is not None and len(a):
+                fit = np.concatenate([(self.sketches[a[i : i + 8192]] == self.sketches[b[i : i + 8192]]).mean(1) >= self.least for i in range(0, len(a), 8192)])
+                a, b = a[fit], b[fit]
+            self.link(a, b)
 
 
-def join_tries(group: np.ndarray, side: np.ndarray, fp: np.ndarray, shift: np.ndarray, width: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def join_tries(group: np.ndarray, side: np.ndarray, ids: np.ndarray, keys: np.ndarray, top: int, budget: int, sketches: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of what links within each group (side 0 with itself) or across its sides (0 with 1)."""
-    # The agreeing block goes to the top; the trie is over the bits below.
-    spin = shift.astype(np.uint64)
-    keys = np.where(shift > 0, (fp << spin) | (fp >> ((np.uint64(64) - spin) & np.uint64(63))), fp)
     order = np.lexsort((keys, side, group))
-    group, side, keys, fp, width = group[order], side[order], keys[order], fp[order], width[order]
+    group, side, keys, ids = group[order], side[order], keys[order], ids[order]
     run = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]))))
     stop = np.append(run[1:], len(group))
-    forest = Forest(keys)
+    forest = Forest(keys, None if sketches is None else sketches[order], similarity)
     first = np.flatnonzero(side[run] == 0)
     after = np.minimum(first + 1, len(run) - 1)
     crossed = (after > first) & (group[run[after]] == group[run[first]]) & (side[run[after]] == 1)
     b = np.where(crossed, after, first)
-    forest.join(run[first], stop[first], run[b], stop[b], 63 - int(width.min()), budget)
-    far = np.flatnonzero(forest.root != np.arange(len(fp)))
-    return fp[far], fp[forest.root[far]]
+    forest.join(run[first], stop[first], run[b], stop[b], top, budget)
+    far = np.flatnonzero(forest.root != np.arange(len(ids)))
+    return ids[far], ids[forest.root[far]]
 
 
-def trie_links(distinct: DataFrame, distance: int = 4) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints ``fp``: a spanning forest of all links of at most ``distance`` bits.
+def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = None) -> DataFrame:
+    """Edges (u, v) between rows (id, fp, and a sketch if there is a ``similarity``): a spanning forest of all links.
 
-    Two fingerprints that link agree in one of ``distance + 1`` blocks of bits. Each (block, value) is a
-    node of a trie whose first bits are that block's; below it, node pairs are traversed together. A node
-    of more than TRIE fingerprints is dealt out as pairs of parts, so no task holds more than two parts.
-    Each task gives at most one edge for each fingerprint it holds, however many links there are.
+    Rows link if their fingerprints differ in at most ``distance`` bits and their sketches show at least
+    the similarity. Fingerprints that link agree in one of ``distance + 1`` blocks of bits, in two of
+    ``distance + 2``, and so on; as many blocks are asked to agree as make nodes of about TRIE rows or
+    fewer. Each (blocks, values) is a node of a trie whose first bits are those blocks'; below it, node
+    pairs are traversed together. A node of more rows, as near copies make one, is dealt out as pairs of
+    parts, so no task holds more than two parts at a time. Each gives at most one edge for each row it
+    holds, however many links there are. What links does not depend on how rows are dealt out.
     """
-    cuts = blocks(distance)
+    spark = nodes.sparkSession
+    n, agree = nodes.count(), 1
+    while agree < 4 and n >> (64 * agree // (distance + agree)) > TRIE:
+        agree += 1
+    cuts = blocks(distance, agree)
     fp = F.col("fp")
     value = lambda at, w: F.shiftrightunsigned(fp, 64 - at - w).bitwiseAND((1 << w) - 1)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[value(at, w) for at, w in cuts])).alias("block", "value"))
-    # At most (distance + 1) * 2 ** 13 nodes, whatever the input: a bounded broadcast.
-    large = keyed.groupBy("block", "value").count().where(F.col("count") > TRIE)
-    parts = F.broadcast(large.select("block", "value", F.ceil(F.col("count") / TRIE * 1.25).cast("int").alias("parts")))
-    keyed = keyed.join(parts, ["block", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    keyed = keyed.withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")).cast("int"))
-    keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    lower, upper = F.least("own", "other"), F.greatest("own", "other")
-    tasks = keyed.select("fp", "block", F.xxhash64("block", "value", lower, upper).alias("task"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = tasks.repartition(n, "task").sortWithinPartitions("task")
-    starts, widths = np.array([a for a, _ in cuts]), np.array([w for _, w in cuts])
+    kinds = list(combinations(range(len(cuts)), agree))
+    keyed = nodes.select("*", F.posexplode(F.array(*[F.xxhash64(*[value(*cuts[c]) for c in k]) for k in kinds])).alias("kind", "value"))
+    # At most n / TRIE nodes of each kind are large.
+    large = keyed.groupBy("kind", "value").count().where(F.col("count") > TRIE)
+    parts = large.select("kind", "value", F.ceil(F.col("count") / TRIE * 1.25).cast("int").alias("parts"))
+    if large.limit(1).count():
+        keyed = keyed.join(parts, ["kind", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        keyed = keyed.withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int"))
+        keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        task, side = F.xxhash64("kind", "value", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int")
+    else:
+        task, side = F.xxhash64("kind", "value"), F.lit(0)
+    extra = ["sketch"] if similarity is not None else []
+    tasks = keyed.select("id", "fp", "kind", task.alias("task"), side.alias("side"), *extra)
+    dealt = tasks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "task").sortWithinPartitions("task")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
-        def done(upto: int | None) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+        def done(whole: bool) -> tuple[pa.Table, pa.Table]:
             t = pa.Table.from_batches(held).combine_chunks()
             task = t.column("task").to_numpy()
-            end = len(task) if upto is None else int(np.searchsorted(task, task[-1], "left"))
+            end = len(task) if whole else int(np.searchsorted(task, task[-1], "left"))
             return t.slice(0, end), t.slice(end)
 
         def edges(t: pa.Table) -> pa.RecordBatch:
-            block = t.column("block").to_numpy()
-            u, v = join_tries(t.column("task").to_numpy(), t.column("side").to_numpy(), t.column("fp").to_numpy().astype(np.uint64), starts[block], widths[block], distance)
-            return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64))], names=["u", "v"])
+            kind, prints = t.column("kind").to_numpy(), t.column("fp").to_numpy().astype(np.uint64)
+            keys, top = np.zeros(len(kind), np.uint64), 0
+            for j, k in enumerate(kinds):  # what must agree is left out; the trie is over the other bits
+                own = kind == j
+                if own.any():
+                    keys[own], width = squeezed(prints[own], [cuts[c] for c in range(len(cuts)) if c not in k])
+                    top = max(top, width)
+            s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS) if extra else None
+            u, v = join_tries(t.column("task").to_numpy(), t.column("side").to_numpy(), t.column("id").to_numpy(), keys, top - 1, distance, s, similarity or 0.0)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 rows += b.num_rows
             if rows >= 1 << 16:
-                ready, rest = done(1)
+                ready, rest = done(False)
                 if ready.num_rows:
                     yield edges(ready)
                 held = rest.to_batches()
                 rows = rest.num_rows if ready.num_rows else 0
         if held:
-            yield edges(done(None)[0])
+            yield edges(done(True)[0])
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def squeezed(prints: np.ndarray, cuts: list[tuple[int, int]]) -> tuple[np.ndarray, int]:
+    """The bits of some blocks side by side, and how many they are."""
+    out, width = np.zeros(len(prints), np.uint64), 0
+    for at, w in cuts:
+        out = out << np.uint64(w) | prints >> np.uint64(64 - at - w) & np.uint64((1 << w) - 1)
+        width += w
+    return out, width
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v), with the smallest node of its component as root.
 
@@ -243,33 +339,38 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (doc_id, row, fp, fingerprint, root, component_id) for each document.
+def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row (doc_id, row, id, fp, fingerprint, root, component_id) for each document.
 
-    Documents link if their fingerprints differ in at most ``distance`` bits; ``component_id`` is the
-    smallest doc_id that a document reaches over links, itself included. Only distinct fingerprints are
-    joined, so thousands of copies cost as much as one.
+    Documents link if their fingerprints, over shingles of ``words`` words, differ in at most ``distance``
+    bits. With a ``similarity`` the fingerprints are over distinct words, and documents link if besides
+    their sets of shingles are that similar (Jaccard, by a sketch that knows it to about 0.035).
+    ``component_id`` is the smallest doc_id that a document reaches over links, itself included. Only
+    distinct fingerprints (or texts) are joined, so thousands of copies cost as much as one.
 
     Texts that are null, empty or without words have fingerprint 0, linked like any other; fewer words
     than a shingle make one shingle. Rows with a null doc_id are linked too but are no component's id
     unless it has no other (then it is null). Repeated rows are kept. An empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, words, doc_id, text))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    stars = components(trie_links(distinct.select("fp"), distance))
-    rooted = distinct.join(stars, distinct["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints = cut(fingerprints(docs, words, doc_id, text, similarity is not None))
+    more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch")]
+    distinct = cut(prints.groupBy("id").agg(*more, F.min("doc_id").alias("first")))
+    stars = components(trie_links(distinct.drop("first"), distance, similarity))
+    rooted = distinct.join(stars, distinct["id"] == stars["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "row", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
+    named = rooted.join(least, "root").select("id", "root", "component_id")
+    return prints.join(named, "id").select("doc_id", "row", "id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, similarity: float | None = 0.8) -> DataFrame:
     """The documents with one of each near-duplicate component: that with the smallest doc_id.
 
-    Null ids come last and ties go to the smaller hash of the text; of rows that are equal in id and text
-    one stays. Returns the columns of ``docs``.
+    By default documents are near-duplicates if four fifths of their five-word shingles are the same, among
+    those whose SimHashes over distinct words differ in at most seven bits. Null ids come last and ties go to
+    the smaller hash of the text; of rows that are equal in id and text one stays. Returns the columns of
+    ``docs``.
     """
-    found = near_duplicates(docs, words, distance)
+    found = near_duplicates(docs, words, distance, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
     row, kept_row = free(docs, "_row", "_kept_row")
     keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.row").alias(kept_row))

@@ -60,7 +60,7 @@ def test_matches_brute_force(spark):
 
 @pytest.mark.parametrize("trie", [3, 4096])
 def test_hot_groups_lose_no_link(spark, monkeypatch, trie):
-    """Many fingerprints around a few centres; small tries force the split of hot groups."""
+    """Many fingerprints around a few centres; small tries force more agreeing blocks and the split of hot groups."""
     monkeypatch.setattr(S, "TRIE", trie)
     r = random.Random(5)
     prints = set()
@@ -72,17 +72,60 @@ def test_hot_groups_lose_no_link(spark, monkeypatch, trie):
             prints.add(x)
     prints |= {r.getrandbits(64) for _ in range(100)}
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    df = spark.createDataFrame([(p, p) for p in signed], "id long, fp long")
     stars = {r["node"]: r["root"] for r in S.components(S.trie_links(df)).collect()}
     want = slow_components([(p, p & (1 << 64) - 1) for p in sorted(signed)])
     groups = lambda f: {frozenset(q for q in signed if f(q) == f(p)) for p in signed}
     assert groups(lambda p: stars.get(p, p)) == groups(want.get)
 
 
+def jaccard(a, b, k=5):
+    grams = lambda t: {tuple(w[i : i + k]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - k + 1))}
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def test_sketches_know_the_similarity():
+    r = random.Random(11)
+    errors = []
+    for _ in range(200):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.randint(100, 600))]
+        v = list(w)
+        for _ in range(r.randint(0, 40)):
+            v[r.randrange(len(v))] = "new"
+        a, b = " ".join(w), " ".join(v)
+        same = sum(x == y for x, y in zip(S.signature(a)[2], S.signature(b)[2], strict=True)) / S.SLOTS
+        errors.append((same - 1 / 256) / (1 - 1 / 256) - jaccard(a, b))
+    assert abs(sum(errors)) / len(errors) < 0.01 and sum(e * e for e in errors) / len(errors) < 0.045**2
+
+
+def test_similar_documents_go_and_others_stay(spark):
+    r = random.Random(12)
+    docs, family = [], {}
+    for f in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randint(150, 400))]
+        for k in range(4):
+            w = list(base)
+            for _ in range(r.randint(0, len(base) // 100)):  # near copies
+                w[r.randrange(len(w))] = f"x{r.randrange(99)}"
+            docs.append((f * 10 + k, " ".join(w)))
+            family[f * 10 + k] = f
+        w = [x if r.random() < 0.8 else f"y{r.randrange(99)}" for x in base]  # related, not near
+        docs.append((f * 10 + 9, " ".join(w)))
+        family[f * 10 + 9] = ("far", f)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {x["doc_id"] for x in S.drop_near_duplicates(df).collect()}
+    assert {f * 10 + 9 for f in range(40)} <= kept
+    texts, left = dict(docs), [i for i in kept if i % 10 != 9]
+    assert {family[i] for i in left} == set(range(40)) and len(left) <= 42
+    extra = [i for i in left if i % 10]
+    assert all(jaccard(texts[i], texts[i // 10 * 10]) < 0.9 for i in extra)
+
+
 def test_keeps_one_of_each(spark):
     docs = corpus() + [(7, " \t\n"), (None, "zzz yyy"), (None, "zzz yyy")]
     df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in docs], SCHEMA)
-    out = S.drop_near_duplicates(df)
+    out = S.drop_near_duplicates(df, 4, 4, None)
     assert out.columns == df.columns
     kept = [r["doc_id"] for r in out.collect()]
     want = slow_components([(i, slow_print(t)) for i, t in corpus()])
