@@ -172,7 +172,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, shard_rows: int
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
     manifest = dealt.mapInArrow(run, "file string, records long, bytes long, sha1 string")
-    manifest.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/{MANIFEST}")
+    manifest.write.mode("errorifexists").parquet(f"{folder}/{MANIFEST}")
     return spark.read.parquet(f"{folder}/{MANIFEST}")
 
 
