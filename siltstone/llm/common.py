@@ -76,9 +76,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             start = stop
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of few rows, as a row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows, as a row may hold a very long text (or, where fewer are asked for, megabytes)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:

@@ -196,6 +196,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_id
                 got = [(q, i, s) for q, v in zip(z["ids"].tolist(), z["v"], strict=True) for s, i in tree.search(v, q, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
 
+    small_batches(spark, 4)  # a row is a tree and a block of queries: megabytes
     found = meet.join(forest, "tree").select("data", "asked").mapInArrow(search, "query_id long, vec_id long, score long")
     # Spark keeps k rows a query in each task before the shuffle, so trees add no more than that.
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))

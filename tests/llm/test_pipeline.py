@@ -46,3 +46,25 @@ def test_stages(spark, tmp_path):
     assert sum(r["taken"] for r in last) > 0 and all(0 <= r["taken"] <= 3 * r["size"] for r in last)
     assert len(last) == len(set(after)) <= len(ids[names[3]])
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, last))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, removed int, _row string, score double, size int"
+
+
+def test_odd_rows_and_empty_tables(spark):
+    """Nulls anywhere, blank and very long texts, repeated rows and columns with clashing names, in every stage."""
+    long = " ".join(f"Word{i % 977} and{i % 31}." for i in range(20000))
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, " \n", "en", None, 2), (None, "A text without an id, of nine words here.", None, "a", None), (4, long, "en", "b", len(long))]
+    rows += [(5, "One text that comes again and again in the table, word for word.", "en", "a", 1)] * 3 + [(6, "One text that comes again and again in the table, word for word.", "en", "a", 1)]
+    rows += [(None, "A text without an id, of nine words here.", None, "a", None), (7, "!!! ... ###", "en", "a", 3), (8, "x", None, None, 1)]
+    df = spark.createDataFrame([(*r, 1, "r", 0.5, 9) for r in rows], ODD)
+    for docs in (df, df.limit(0)):
+        n = docs.count()
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert len(got) <= n, name
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns, name
+    near = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, df, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in near) == ["1", "4", "5", "7", "8", "None"]
