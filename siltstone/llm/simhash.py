@@ -189,9 +189,12 @@ class Forest:
                 continue
             am, bm = self.halves(alo, ahi, bit), self.halves(blo, bhi, bit)
             other = (alo != blo) | (ahi != bhi)
-            # 0 with 1 and, of two different nodes, 1 with 0: one more differing bit; the closer pairs go first
-            stack.append((np.concatenate((alo, am[other])), np.concatenate((am, ahi[other])), np.concatenate((bm, blo[other])), np.concatenate((bhi, bm[other])), np.concatenate((off, off[other])) + 1, bit - 1))
-            stack.append((np.concatenate((alo, am)), np.concatenate((am, ahi)), np.concatenate((blo, bm)), np.concatenate((bm, bhi)), np.concatenate((off, off)), bit - 1))
+            # 0 with 1 and, of two different nodes, 1 with 0 differ in one more bit; the closer pairs come
+            # first, so that a frontier that is halved links them before the others are looked at
+            stack.append((
+                np.concatenate((alo, am, alo, am[other])), np.concatenate((am, ahi, am, ahi[other])), np.concatenate((blo, bm, bm, blo[other])),
+                np.concatenate((bm, bhi, bhi, bm[other])), np.concatenate((off, off, off + 1, off[other] + 1)), bit - 1,
+            ))
 
     def compare(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, budget: int) -> None:
         """Compares all fingerprints of small nodes; of equal fingerprints' nodes, however large, in steps."""
