@@ -140,7 +140,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, shard_rows: int
         notes.select("page_id", F.lit(0), empty, empty, "digest", "last")
     )
     both = both.withColumn("shard", shard)
-    dealt = both.repartition(len(edges) + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("html"), "url")
+    dealt = both.repartitionById(len(edges) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("html"), "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
