@@ -316,13 +316,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v), with the smallest node of its component as root.
 
     Alternates large-star and small-star steps until the edges are stars; each step's edges are kept in
-    the shared folder. Minima are pre-aggregated where the rows are, so a hub is no hot spot for them.
+    the shared folder. Minima are pre-aggregated where the rows are, so a hub is no hot spot for them, and
+    joins are of plain shuffles, so that a hub's edges can be split over tasks.
     """
 
     def step(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("v", "u")) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = both.join(low, "u")
+        met = both.join(cut(low), "u")  # cut, so that both sides are plain shuffles, whose hot keys Spark splits
         if large:
             out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -359,9 +360,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similari
     more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch")]
     distinct = cut(prints.groupBy("id").agg(*more, F.min("doc_id").alias("first")))
     stars = components(trie_links(distinct.drop("first"), distance, similarity))
-    rooted = distinct.join(stars, distinct["id"] == stars["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    rooted = cut(distinct.join(stars, distinct["id"] == stars["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("id", "root", "component_id")
+    named = rooted.join(cut(least), "root").select("id", "root", "component_id")
     return prints.join(named, "id").select("doc_id", "row", "id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
