@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import json_
 from ..session import prepare
 from ..types import SPARK, name_of
-from . import fts, udf
+from . import udf
 from .dialect import Rewriter
 from .lexer import Token, closing, lex, split_top, unquote
 from .tables import ACTIONS, Column, ConstraintViolation, Exists, ForeignKey, Index, NotFound, Store, Table, Trigger
@@ -70,10 +70,8 @@ class Database(Store):
 
     def _register(self) -> None:
         """The helpers that rewritten statements call."""
-        for tokenizer in ("simple", "porter"):
-            bare = "filter(split(regexp_replace(lower(t), '[^\\\\p{L}\\\\p{Nd}\\\\p{IsWhite_Space}]', ''), '\\\\p{IsWhite_Space}+'), w -> w <> '')"
-            words = bare if tokenizer == "simple" else f"transform({bare}, w -> {_stem_sql()})"
-            self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sil_tokens_{tokenizer}(t STRING) RETURNS ARRAY<STRING> RETURN array_distinct({words})")
+        words = "split(regexp_replace(lower(t), '[^\\\\p{L}\\\\p{Nd}\\\\p{IsWhite_Space}]', ''), '\\\\p{IsWhite_Space}+')"
+        self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION sil_tokens(t STRING) RETURNS ARRAY<STRING> RETURN {words}")
         for name, change in (("json_set", lambda d, p, v: json_.set_at(d, p, v, True)), ("json_insert", lambda d, p, v: json_.set_at(d, p, v, False))):
             self.spark.udf.register(f"sil_{name}", F.pandas_udf(_json_udf(change), "string"))
         self.spark.udf.register("sil_json_remove", F.pandas_udf(_json_remove, "string"))
@@ -573,13 +571,6 @@ class Database(Store):
         return 0
 
 
-def _stem_sql() -> str:
-    out = "CASE WHEN octet_length(w) <= 3 THEN w"
-    for suffix, instead in fts.RULES:
-        out += f" WHEN octet_length(w) > {len(suffix) + 2} AND endswith(w, '{suffix}') THEN concat(substring(w, 1, length(w) - {len(suffix)}), '{instead}')"
-    return out + " ELSE w END"
-
-
 def _json_udf(change):
     import json
 

@@ -7,6 +7,7 @@ search is a filter of the scan and shuffles nothing, however many terms it has.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,11 +76,15 @@ def stem_text(word: str) -> str:
     return word
 
 
+def words_of(*texts: Column) -> Column:
+    """Words as they come: split at white space, letters and digits only (so don't is dont), lower case."""
+    bare = F.regexp_replace(F.lower(F.concat_ws(" ", *texts)), r"[^\p{L}\p{Nd}\p{IsWhite_Space}]", "")
+    return F.split(bare, r"\p{IsWhite_Space}+")
+
+
 def tokens(*texts: Column, tokenizer: str = "simple") -> Column:
-    """Distinct words: split at white space, letters and digits only (so don't is dont), lower case."""
-    joined = F.concat_ws(" ", *texts)
-    bare = F.regexp_replace(F.lower(joined), r"[^\p{L}\p{Nd}\p{IsWhite_Space}]", "")
-    words = F.filter(F.split(bare, r"\p{IsWhite_Space}+"), lambda w: w != "")
+    """Distinct words, stemmed if the tokenizer is porter."""
+    words = F.filter(words_of(*texts), lambda w: w != "")
     return F.array_distinct(F.transform(words, stem) if tokenizer == "porter" else words)
 
 
@@ -104,19 +109,36 @@ def parse(query: str) -> list[list[tuple[bool, str]]]:
 
 def match(words: Column, query: str, tokenizer: str = "simple") -> Column:
     """Whether a token array fits a query; an empty query fits nothing."""
+    return _fits(query, lambda term: F.array_contains(words, stem_text(term) if tokenizer == "porter" else term))
+
+
+def _fits(query: str, has: Callable[[str], Column]) -> Column:
     found = F.lit(False)
     for group in parse(query):
         every = F.lit(True)
         for wanted, term in group:
-            has = F.array_contains(words, stem_text(term) if tokenizer == "porter" else term)
-            every = every & (has if wanted else ~has)
+            every = every & (has(term) if wanted else ~has(term))
         found = found | every
     return found
 
 
+def unstemmed(term: str) -> list[str]:
+    """All words whose stem is this one: itself, or with a rule turned back, if the rules then lead here."""
+    back = {term} | {term[: len(term) - len(i)] + s for s, i in RULES if term.endswith(i)}
+    return sorted(w for w in back if stem_text(w) == term)
+
+
 def search(docs: DataFrame, columns: list[str], query: str, tokenizer: str = "simple") -> DataFrame:
-    """The rows of which any of the columns, taken together, fit the query."""
-    return docs.where(match(tokens(*[F.col(c) for c in columns], tokenizer=tokenizer), query, tokenizer))
+    """The rows of which any of the columns, taken together, fit the query.
+
+    The words are made once a row, however many terms there are: they are bound to a lambda's variable. With
+    the porter tokenizer it is the term that is turned into the words of its stem; no word is stemmed.
+    """
+
+    def test(words: Column) -> Column:
+        return _fits(query, lambda t: F.arrays_overlap(words, F.array(*map(F.lit, unstemmed(stem_text(t))))) if tokenizer == "porter" else F.array_contains(words, t))
+
+    return docs.where(F.element_at(F.transform(F.array(words_of(*[F.col(c) for c in columns])), test), 1))
 
 
 def index(docs: DataFrame, key: str, columns: list[str], tokenizer: str = "simple") -> DataFrame:

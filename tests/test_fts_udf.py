@@ -16,6 +16,16 @@ def test_tokens_and_stems(spark):
     assert dict(zip(words, stems, strict=True))["running"] == "runn" and "the" in stems and stems[1] == "nation"
 
 
+def test_turning_stems_back_is_exact():
+    import itertools
+
+    heads = ["run", "nat", "walk", "x", "be", "valen", ""]
+    words = {h + s + t for h in heads for (s, _), (t, _) in itertools.product([*fts.RULES, ("", "")], repeat=2)} | {h + i + s for h in heads for s, i in fts.RULES}
+    for w in words:
+        assert w in fts.unstemmed(fts.stem_text(w))
+    assert all(fts.stem_text(w) == "tion" for w in fts.unstemmed("tion")) and len(fts.unstemmed("walk")) > 5
+
+
 def test_queries(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "b c"), (3, "c d"), (4, "")], "id int, t string")
     ask = lambda q: sorted(r[0] for r in fts.search(df, ["t"], q).select("id").collect())
