@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: What separates words: space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,6 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Arrow batches of few rows, as a row may hold a very long text (or, where fewer are asked for, megabytes)."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
