@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -15,7 +20,22 @@ SETTINGS = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once, unless PYTHONPATH or the working folder has it."""
+    here, context = Path(__file__).resolve().parent, spark.sparkContext
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(context, "_siltstone_sent", False) or any(p and os.path.realpath(p) == str(here.parent) for p in paths):
+        return
+    target = Path(tempfile.mkdtemp(prefix="siltstone-")) / "siltstone.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    context.addPyFile(str(target))
+    context._siltstone_sent = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
+    ship(spark)
     for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     return spark
