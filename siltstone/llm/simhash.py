@@ -18,6 +18,8 @@ TRIE = 1 << 15
 STEP = 1 << 18
 #: Slots of a sketch, one byte each: the similarity of two texts is known to about 0.035.
 SLOTS = 128
+#: Shingles of the texts that one task compares exactly; a text counts as TEXT_COST more. Larger groups are dealt out as pairs of parts.
+EXACT, TEXT_COST = 1 << 20, 512
 #: Words whose hashes a worker remembers; then it forgets them and starts again.
 REMEMBERED = 200_000
 
@@ -75,11 +77,25 @@ def sketch(shingles: np.ndarray) -> bytes:
     return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes]:
-    """(id, fp, sketch) of a whole text: a hash of its words in order, the SimHash of its distinct words, and a sketch of its shingles.
+def shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """The distinct shingles of a whole text, as sorted 64-bit hashes made from those of its words."""
+    k = min(words, len(h))
+    grams = h[: len(h) - k + 1].copy()
+    for j in range(1, k):
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : len(h) - k + 1 + j]
+    grams = (grams ^ (grams >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return np.unique(grams ^ (grams >> np.uint64(29)))
+
+
+def word_hashes(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
+
+
+def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes, int]:
+    """(id, fp, sketch, size) of a whole text: a hash of its words in order, the SimHash of its distinct words, and a sketch and the number of its shingles.
 
     A changed word changes one of the distinct words but ``words`` shingles, so near copies agree in more
-    bits of this fingerprint than of one over shingles. The sketch tells their similarity.
+    bits of this fingerprint than of one over shingles. The sketch tells which pairs can't be similar.
     """
     import xxhash
 
@@ -87,18 +103,25 @@ def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes]:
     own = xxhash.xxh64_intdigest(b" ".join(tokens), 9)
     own = own - (1 << 64) if own >> 63 else own
     if not tokens:
-        return own, 0, bytes(SLOTS)
-    h = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
-    k = min(words, len(tokens))
-    grams = h[: len(h) - k + 1].copy()
-    for j in range(1, k):
-        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : len(h) - k + 1 + j]
-    grams = (grams ^ (grams >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    return own, bits(np.unique(h)), sketch(grams ^ (grams >> np.uint64(29)))
+        return own, 0, bytes(SLOTS), 0
+    h = word_hashes(tokens)
+    grams = shingles(h, words)
+    return own, bits(np.unique(h)), sketch(grams), len(grams)
+
+
+def alike(sketches: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs may be that similar: not those of too different sizes, nor those whose sketches show five standard errors less.
+
+    Few shingles fill few slots, whose neighbours repeat them: a text counts as a third as many slots as it has shingles.
+    """
+    small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+    least = similarity - 5 * np.sqrt(similarity * (1 - similarity) / np.clip(small / 3, 1, SLOTS))
+    share = [np.zeros(0)] + [(sketches[a[i : i + 8192]] == sketches[b[i : i + 8192]]).mean(1) for i in range(0, len(a), 8192)]
+    return (small >= similarity * large * (1 - 1e-12)) & (np.concatenate(share) >= least)
 
 
 def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
-    """One row (doc_id, row, id, fp) for each document, with a sketch if ``similar``.
+    """One row (doc_id, row, id, fp) for each document, with sketch and size if ``similar``.
 
     ``row`` is a hash of id and text; ``id`` tells apart what is linked: fingerprints, or texts if ``similar``.
     """
@@ -109,13 +132,13 @@ def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text:
             texts = b.column("text").to_pylist()
             if similar:
                 got = [signature(t, words) for t in texts]
-                more = [pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+                more = [pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32()))]
             else:
                 more = [pa.array([fingerprint(t, words) for t in texts], pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *more], names=["doc_id", "row", "id", "fp", "sketch"][: 5 if similar else 4])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *more], names=["doc_id", "row", "id", "fp", "sketch", "size"][: 6 if similar else 4])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, row long, id long, fp long" + ", sketch binary" * similar)
+    return narrow.mapInArrow(run, "doc_id long, row long, id long, fp long" + ", sketch binary, size int" * similar)
 
 
 def blocks(distance: int, agree: int) -> list[tuple[int, int]]:
@@ -128,9 +151,8 @@ def blocks(distance: int, agree: int) -> list[tuple[int, int]]:
 class Forest:
     """Sorted runs of fingerprints as binary tries, and which of the fingerprints are linked so far."""
 
-    def __init__(self, keys: np.ndarray, sketches: np.ndarray | None = None, similarity: float = 0.0):
-        self.keys, self.sketches = keys, sketches
-        self.least = similarity + (1 - similarity) / 256  # of slots that agree; some do by chance
+    def __init__(self, keys: np.ndarray, sketches: np.ndarray | None = None, sizes: np.ndarray | None = None, similarity: float = 0.0):
+        self.keys, self.sketches, self.sizes, self.similarity = keys, sketches, sizes, similarity
         self.root = np.arange(len(keys))
         self.settle()
 
@@ -163,7 +185,7 @@ class Forest:
         return lo
 
     def join(self, alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, top: int, budget: int) -> None:
-        """Links all fingerprints of the range pairs that differ in at most ``budget`` bits (and whose sketches are similar).
+        """Links all fingerprints of the range pairs that differ in at most ``budget`` bits (and may be similar).
 
         Pairs of trie nodes go down together, from bit ``top``. A pair keeps the number of bits that its
         nodes differ in; it is pruned beyond the budget, and where both nodes are already one component.
@@ -209,18 +231,18 @@ class Forest:
             near = (np.bitwise_count(self.keys[a] ^ self.keys[b]) <= budget) & (a != b) & (self.root[a] != self.root[b])
             a, b = a[near], b[near]
             if self.sketches is not None and len(a):
-                fit = np.concatenate([(self.sketches[a[i : i + 8192]] == self.sketches[b[i : i + 8192]]).mean(1) >= self.least for i in range(0, len(a), 8192)])
+                fit = alike(self.sketches, self.sizes, a, b, self.similarity)
                 a, b = a[fit], b[fit]
             self.link(a, b)
 
 
-def join_tries(group: np.ndarray, side: np.ndarray, ids: np.ndarray, keys: np.ndarray, top: int, budget: int, sketches: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def join_tries(group: np.ndarray, side: np.ndarray, ids: np.ndarray, keys: np.ndarray, top: int, budget: int, sketches: np.ndarray | None, sizes: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Star edges of what links within each group (side 0 with itself) or across its sides (0 with 1)."""
     order = np.lexsort((keys, side, group))
     group, side, keys, ids = group[order], side[order], keys[order], ids[order]
     run = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]))))
     stop = np.append(run[1:], len(group))
-    forest = Forest(keys, None if sketches is None else sketches[order], similarity)
+    forest = Forest(keys, None if sketches is None else sketches[order], None if sizes is None else sizes[order], similarity)
     first = np.flatnonzero(side[run] == 0)
     after = np.minimum(first + 1, len(run) - 1)
     crossed = (after > first) & (group[run[after]] == group[run[first]]) & (side[run[after]] == 1)
@@ -231,10 +253,10 @@ def join_tries(group: np.ndarray, side: np.ndarray, ids: np.ndarray, keys: np.nd
 
 
 def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = None) -> DataFrame:
-    """Edges (u, v) between rows (id, fp, and a sketch if there is a ``similarity``): a spanning forest of all links.
+    """Edges (u, v) between rows (id, fp; sketch and size if there is a ``similarity``): a spanning forest of all links.
 
-    Rows link if their fingerprints differ in at most ``distance`` bits and their sketches show at least
-    the similarity. Fingerprints that link agree in one of ``distance + 1`` blocks of bits, in two of
+    Rows link if their fingerprints differ in at most ``distance`` bits and, by their sketches, may be that
+    similar: such links are candidates that ``exact_links`` decides. Fingerprints that link agree in one of ``distance + 1`` blocks of bits, in two of
     ``distance + 2``, and so on; as many blocks are asked to agree as make nodes of about TRIE rows or
     fewer. Each (blocks, values) is a node of a trie whose first bits are those blocks'; below it, node
     pairs are traversed together. A node of more rows, as near copies make one, is dealt out as pairs of
@@ -260,7 +282,7 @@ def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = N
         task, side = F.xxhash64("kind", "value", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int")
     else:
         task, side = F.xxhash64("kind", "value"), F.lit(0)
-    extra = ["sketch"] if similarity is not None else []
+    extra = ["sketch", "size"] if similarity is not None else []
     tasks = keyed.select("id", "fp", "kind", task.alias("task"), side.alias("side"), *extra)
     dealt = tasks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "task").sortWithinPartitions("task")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
@@ -284,7 +306,8 @@ def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = N
                     keys[own], width = squeezed(prints[own], [cuts[c] for c in range(len(cuts)) if c not in k])
                     top = max(top, width)
             s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS) if extra else None
-            u, v = join_tries(t.column("task").to_numpy(), t.column("side").to_numpy(), t.column("id").to_numpy(), keys, top - 1, distance, s, similarity or 0.0)
+            sizes = t.column("size").to_numpy() if extra else None
+            u, v = join_tries(t.column("task").to_numpy(), t.column("side").to_numpy(), t.column("id").to_numpy(), keys, top - 1, distance, s, sizes, similarity or 0.0)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for b in batches:
@@ -312,6 +335,64 @@ def squeezed(prints: np.ndarray, cuts: list[tuple[int, int]]) -> tuple[np.ndarra
     return out, width
 
 
+def exact_forest(ids: list[int], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of all pairs (within side 0, or across the sides if there are two) whose Jaccard is at least the similarity."""
+    first = {(s, i): at for at, (s, i) in reversed(list(enumerate(zip(sides, ids, strict=True))))}
+    at = sorted(first.values(), key=lambda j: (sides[j], ids[j]))
+    names, sets = [ids[j] for j in at], [sets[j] for j in at]
+    zeros = sum(sides[j] == 0 for j in at)
+    sketches = np.stack([np.frombuffer(sketch(x) if len(x) else bytes(SLOTS), np.uint8) for x in sets])
+    sizes, root, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    for i in range(zeros):
+        others = np.arange(i + 1 if zeros == len(sets) else zeros, len(sets))
+        others = others[root[others] != root[i]]
+        for j in others[alike(sketches, sizes, np.full(len(others), i), others, similarity)].tolist():
+            if root[j] != root[i]:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both / max(len(sets[i]) + len(sets[j]) - both, 1) >= similarity:
+                    out.append((names[i], names[j]))
+                    root[root == root[j]] = root[i]
+    return out
+
+
+def exact_links(docs: DataFrame, members: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Edges (u, v) between texts of one group whose sets of shingles are that similar, by their exact Jaccard: a spanning forest of all.
+
+    ``docs`` is (row, text); ``members`` (id, row, size, comp) names the texts of each group ``comp``. All pairs
+    within a group are decided from whole texts, unless size or sketch rule them out. A task holds texts of
+    about EXACT shingles; a larger group is dealt out as pairs of parts.
+    """
+    spark = docs.sparkSession
+    members = cut(members)
+    parts = members.groupBy("comp").agg(F.ceil(F.sum(F.col("size") + TEXT_COST) / EXACT).cast("int").alias("parts"))
+    dealt = members.join(parts, "comp").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    task, side = F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int")
+    met = docs.join(dealt.select("row", "id", task.alias("task"), side.alias("side")), "row").select("task", "side", "id", "text")
+    met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "task").sortWithinPartitions("task")
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sides, sets = None, [], [], []
+        found: list[tuple[int, int]] = []
+        for b in slices(batches, "text"):
+            for t, s, i, text in zip(*(b.column(c).to_pylist() for c in ("task", "side", "id", "text")), strict=True):
+                if t != now:
+                    if ids:
+                        found += exact_forest(ids, sides, sets, similarity)
+                    now, ids, sides, sets = t, [], [], []
+                ids.append(i)
+                sides.append(s)
+                sets.append(shingles(word_hashes((text or "").encode().lower().split()), words))
+            yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in found], pa.int64()) for j in range(2)], names=["u", "v"])
+            found = []
+        if ids:
+            found = exact_forest(ids, sides, sets, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in found], pa.int64()) for j in range(2)], names=["u", "v"])
+
+    return met.mapInArrow(run, "u long, v long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v), with the smallest node of its component as root.
 
@@ -348,7 +429,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similari
 
     Documents link if their fingerprints, over shingles of ``words`` words, differ in at most ``distance``
     bits. With a ``similarity`` the fingerprints are over distinct words, and documents link if besides
-    their sets of shingles are that similar (Jaccard, by a sketch that knows it to about 0.035).
+    their sets of shingles are that similar (Jaccard, exactly, of whole texts; see ``exact_links``).
     ``component_id`` is the smallest doc_id that a document reaches over links, itself included. Only
     distinct fingerprints (or texts) are joined, so thousands of copies cost as much as one.
 
@@ -357,9 +438,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similari
     unless it has no other (then it is null). Repeated rows are kept. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words, doc_id, text, similarity is not None))
-    more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch")]
-    distinct = cut(prints.groupBy("id").agg(*more, F.min("doc_id").alias("first")))
-    stars = components(trie_links(distinct.drop("first"), distance, similarity))
+    more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch", "size")]
+    distinct = cut(prints.groupBy("id").agg(*more, F.min("doc_id").alias("first"), F.min("row").alias("row")))
+    stars = components(trie_links(distinct.drop("first", "row"), distance, similarity))
+    if similarity is not None:  # so far groups of candidates
+        groups = stars.select(F.col("node").alias("id"), F.col("root").alias("comp")).union(stars.select("root", "root").distinct())
+        texts = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
+        stars = components(exact_links(texts, distinct.select("id", "row", "size").join(groups, "id"), similarity, words))
     rooted = cut(distinct.join(stars, distinct["id"] == stars["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(cut(least), "root").select("id", "root", "component_id")

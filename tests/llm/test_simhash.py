@@ -136,3 +136,38 @@ def test_keeps_one_of_each(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(df).collect() == [] and S.drop_near_duplicates(df).collect() == []
+
+
+def test_similarity_is_exact_at_the_threshold(spark):
+    """Pairs just over and just under 0.8, closer than a sketch can tell: only those of at least 0.8 are one."""
+    r = random.Random(21)
+    docs, want = [], {}
+    for f in range(60):
+        base = [f"v{r.randrange(10**6)}" for _ in range(404)]  # 400 shingles; n words replaced at the end leave 400 - n
+        cut = r.choice([42, 43, 44, 45, 46])  # 358 of 442 is 0.81, 355 of 445 is 0.798
+        docs += [(2 * f, " ".join(base)), (2 * f + 1, " ".join(base[:-cut] + [f"u{r.randrange(10**6)}" for _ in range(cut)]))]
+        want[f] = jaccard(docs[-2][1], docs[-1][1]) >= 0.8
+    assert 10 < sum(want.values()) < 50
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    root = {x["doc_id"]: x["component_id"] for x in S.near_duplicates(df, 5, 24, 0.8).collect()}
+    assert {f: root[2 * f] == root[2 * f + 1] for f in want} == want
+
+
+def test_parts_of_large_groups_lose_no_exact_link(spark, monkeypatch):
+    monkeypatch.setattr(S, "EXACT", 4000)
+    r = random.Random(22)
+    base = [f"v{r.randrange(10**6)}" for _ in range(300)]
+    docs = []
+    for i in range(40):
+        w = list(base)
+        for j in range(r.randint(0, 12)):
+            w[r.randrange(300)] = f"u{r.randrange(10**6)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    root = {i: i for i, _ in docs}
+    for i, a in docs:
+        for j, b in docs:
+            if jaccard(a, b) >= 0.8 and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    assert {x["doc_id"]: x["component_id"] for x in S.near_duplicates(df, 5, 24, 0.8).collect()} == root
