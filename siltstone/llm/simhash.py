@@ -18,6 +18,8 @@ TRIE = 1 << 15
 STEP = 1 << 18
 #: Slots of a sketch, one byte each: the similarity of two texts is known to about 0.035.
 SLOTS = 128
+#: Bands of so many neighbouring slots each: texts that agree in a whole band are candidates, too.
+BANDS, BAND = 25, 5
 #: Shingles of the texts that one task compares exactly; a text counts as TEXT_COST more. Larger groups are dealt out as pairs of parts.
 EXACT, TEXT_COST = 1 << 20, 512
 #: Words whose hashes a worker remembers; then it forgets them and starts again.
@@ -65,16 +67,29 @@ class Words(dict):
 _words = Words()
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """One byte for each of SLOTS parts of the hash space: from the smallest hash there, or that of the next part that has one."""
+def slots(shingles: np.ndarray) -> np.ndarray:
+    """A number for each of SLOTS parts of the hash space: from the smallest hash there, or that of the next part that has one."""
     slot = (shingles >> np.uint64(57)).astype(np.int64)
     low = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(low, slot, shingles & np.uint64((1 << 57) - 1))
     full = np.flatnonzero(np.bincount(slot, minlength=SLOTS))
     ahead = full[np.searchsorted(full, np.arange(SLOTS)) % len(full)]
     away = (ahead - np.arange(SLOTS)) % SLOTS
-    mixed = (low[ahead] + away.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
+    return (low[ahead] + away.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch(slots: np.ndarray) -> bytes:
+    """One byte of each slot."""
+    return (slots >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def bands(slots: np.ndarray) -> list[int]:
+    """A signed long for each band of slots. Of two texts with Jaccard J each agrees with a chance of about J ** BAND."""
+    own = slots[: BANDS * BAND].reshape(BANDS, BAND)
+    out = own[:, 0].copy()
+    for j in range(1, BAND):
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + own[:, j]
+    return out.view(np.int64).tolist()
 
 
 def shingles(h: np.ndarray, words: int) -> np.ndarray:
@@ -91,11 +106,12 @@ def word_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes, int]:
-    """(id, fp, sketch, size) of a whole text: a hash of its words in order, the SimHash of its distinct words, and a sketch and the number of its shingles.
+def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes, int, list[int]]:
+    """(id, fp, sketch, size, bands) of a whole text: a hash of its words in order, the SimHash of its distinct words, and of its shingles a sketch, the number and bands.
 
     A changed word changes one of the distinct words but ``words`` shingles, so near copies agree in more
-    bits of this fingerprint than of one over shingles. The sketch tells which pairs can't be similar.
+    bits of this fingerprint than of one over shingles. A passage that is cut or put in changes many words at
+    once but few shingles, so such copies agree in bands. The sketch tells which pairs can't be similar.
     """
     import xxhash
 
@@ -103,10 +119,11 @@ def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes, int]:
     own = xxhash.xxh64_intdigest(b" ".join(tokens), 9)
     own = own - (1 << 64) if own >> 63 else own
     if not tokens:
-        return own, 0, bytes(SLOTS), 0
+        return own, 0, bytes(SLOTS), 0, []
     h = word_hashes(tokens)
     grams = shingles(h, words)
-    return own, bits(np.unique(h)), sketch(grams), len(grams)
+    at = slots(grams)
+    return own, bits(np.unique(h)), sketch(at), len(grams), bands(at)
 
 
 def alike(sketches: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -121,7 +138,7 @@ def alike(sketches: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray,
 
 
 def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
-    """One row (doc_id, row, id, fp) for each document, with sketch and size if ``similar``.
+    """One row (doc_id, row, id, fp) for each document, with sketch, size and bands if ``similar``.
 
     ``row`` is a hash of id and text; ``id`` tells apart what is linked: fingerprints, or texts if ``similar``.
     """
@@ -132,13 +149,13 @@ def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text:
             texts = b.column("text").to_pylist()
             if similar:
                 got = [signature(t, words) for t in texts]
-                more = [pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32()))]
+                more = [pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())))]
             else:
                 more = [pa.array([fingerprint(t, words) for t in texts], pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *more], names=["doc_id", "row", "id", "fp", "sketch", "size"][: 6 if similar else 4])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *more], names=["doc_id", "row", "id", "fp", "sketch", "size", "bands"][: 7 if similar else 4])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, row long, id long, fp long" + ", sketch binary, size int" * similar)
+    return narrow.mapInArrow(run, "doc_id long, row long, id long, fp long" + ", sketch binary, size int, bands array<long>" * similar)
 
 
 def blocks(distance: int, agree: int) -> list[tuple[int, int]]:
@@ -253,10 +270,11 @@ def join_tries(group: np.ndarray, side: np.ndarray, ids: np.ndarray, keys: np.nd
 
 
 def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = None) -> DataFrame:
-    """Edges (u, v) between rows (id, fp; sketch and size if there is a ``similarity``): a spanning forest of all links.
+    """Edges (u, v) between rows (id, fp; sketch, size and bands if there is a ``similarity``): a spanning forest of all links.
 
-    Rows link if their fingerprints differ in at most ``distance`` bits and, by their sketches, may be that
-    similar: such links are candidates that ``exact_links`` decides. Fingerprints that link agree in one of ``distance + 1`` blocks of bits, in two of
+    Rows link if their fingerprints differ in at most ``distance`` bits. With a similarity they also link if
+    they agree in a band, and only if, by their sketches, they may be that similar: such links are candidates
+    that ``exact_links`` decides. Those of a band are compared as a trie of equal keys is. Fingerprints that link agree in one of ``distance + 1`` blocks of bits, in two of
     ``distance + 2``, and so on; as many blocks are asked to agree as make nodes of about TRIE rows or
     fewer. Each (blocks, values) is a node of a trie whose first bits are those blocks'; below it, node
     pairs are traversed together. A node of more rows, as near copies make one, is dealt out as pairs of
@@ -271,7 +289,13 @@ def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = N
     fp = F.col("fp")
     value = lambda at, w: F.shiftrightunsigned(fp, 64 - at - w).bitwiseAND((1 << w) - 1)
     kinds = list(combinations(range(len(cuts)), agree))
-    keyed = nodes.select("*", F.posexplode(F.array(*[F.xxhash64(*[value(*cuts[c]) for c in k]) for k in kinds])).alias("kind", "value"))
+    extra = ["sketch", "size"] if similarity is not None else []
+    keyed = nodes.select("id", "fp", *extra, F.posexplode(F.array(*[F.xxhash64(*[value(*cuts[c]) for c in k]) for k in kinds])).alias("kind", "value"))
+    if extra:  # only bands that meet others take a row with its sketch along
+        narrow = nodes.select("id", F.posexplode("bands").alias("band", "value")).select("id", (F.col("band") + len(kinds)).alias("kind"), "value")
+        shared = narrow.groupBy("kind", "value").count().where("count > 1").select("kind", "value")
+        met = cut(narrow.join(shared, ["kind", "value"]))
+        keyed = keyed.union(met.join(nodes, "id").select(keyed.columns))
     # At most n / TRIE nodes of each kind are large.
     large = keyed.groupBy("kind", "value").count().where(F.col("count") > TRIE)
     parts = large.select("kind", "value", F.ceil(F.col("count") / TRIE * 1.25).cast("int").alias("parts"))
@@ -282,7 +306,6 @@ def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = N
         task, side = F.xxhash64("kind", "value", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int")
     else:
         task, side = F.xxhash64("kind", "value"), F.lit(0)
-    extra = ["sketch", "size"] if similarity is not None else []
     tasks = keyed.select("id", "fp", "kind", task.alias("task"), side.alias("side"), *extra)
     dealt = tasks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "task").sortWithinPartitions("task")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
@@ -341,7 +364,7 @@ def exact_forest(ids: list[int], sides: list[int], sets: list[np.ndarray], simil
     at = sorted(first.values(), key=lambda j: (sides[j], ids[j]))
     names, sets = [ids[j] for j in at], [sets[j] for j in at]
     zeros = sum(sides[j] == 0 for j in at)
-    sketches = np.stack([np.frombuffer(sketch(x) if len(x) else bytes(SLOTS), np.uint8) for x in sets])
+    sketches = np.stack([np.frombuffer(sketch(slots(x)) if len(x) else bytes(SLOTS), np.uint8) for x in sets])
     sizes, root, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
     for i in range(zeros):
         others = np.arange(i + 1 if zeros == len(sets) else zeros, len(sets))
@@ -428,8 +451,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similari
     """One row (doc_id, row, id, fp, fingerprint, root, component_id) for each document.
 
     Documents link if their fingerprints, over shingles of ``words`` words, differ in at most ``distance``
-    bits. With a ``similarity`` the fingerprints are over distinct words, and documents link if besides
-    their sets of shingles are that similar (Jaccard, exactly, of whole texts; see ``exact_links``).
+    bits. With a ``similarity`` the fingerprints are over distinct words, texts that agree in a band of their
+    sketch are looked at too, and documents link if besides their sets of shingles are that similar (Jaccard, exactly, of whole texts; see ``exact_links``).
     ``component_id`` is the smallest doc_id that a document reaches over links, itself included. Only
     distinct fingerprints (or texts) are joined, so thousands of copies cost as much as one.
 
@@ -438,7 +461,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similari
     unless it has no other (then it is null). Repeated rows are kept. An empty table gives an empty result.
     """
     prints = cut(fingerprints(docs, words, doc_id, text, similarity is not None))
-    more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch", "size")]
+    more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch", "size", "bands")]
     distinct = cut(prints.groupBy("id").agg(*more, F.min("doc_id").alias("first"), F.min("row").alias("row")))
     stars = components(trie_links(distinct.drop("first", "row"), distance, similarity))
     if similarity is not None:  # so far groups of candidates
@@ -455,7 +478,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, sim
     """The documents with one of each near-duplicate component: that with the smallest doc_id.
 
     By default documents are near-duplicates if four fifths of their five-word shingles are the same, among
-    those whose SimHashes over distinct words differ in at most seven bits. Null ids come last and ties go to
+    those whose SimHashes over distinct words differ in at most seven bits or that agree in a band of their sketch. Null ids come last and ties go to
     the smaller hash of the text; of rows that are equal in id and text one stays. Returns the columns of
     ``docs``.
     """

@@ -171,3 +171,19 @@ def test_parts_of_large_groups_lose_no_exact_link(spark, monkeypatch):
                 lo, hi = sorted((root[i], root[j]))
                 root = {k: lo if v == hi else v for k, v in root.items()}
     assert {x["doc_id"]: x["component_id"] for x in S.near_duplicates(df, 5, 24, 0.8).collect()} == root
+
+
+def test_cut_and_inserted_passages_are_candidates(spark):
+    """Near copies by one contiguous edit, down to a similarity of 0.8, whose SimHashes are far apart."""
+    r = random.Random(23)
+    docs, far = [], 0
+    for f in range(60):
+        base = [f"v{int(r.paretovariate(0.6)) % 9999}" for _ in range(r.randint(60, 400))]
+        copy = base[: int(len(base) * 0.83)] if f % 2 else base[:20] + [f"u{r.randrange(9999)}" for _ in range(len(base) // 8)] + base[20:]
+        a, b = " ".join(base), " ".join(copy)
+        if jaccard(a, b) >= 0.8:
+            docs += [(2 * f, a), (2 * f + 1, b)]
+            far += ((S.signature(a)[1] ^ S.signature(b)[1]) & (1 << 64) - 1).bit_count() > 7
+    assert len(docs) > 60 and far > 10
+    kept = {x["doc_id"] for x in S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {i for i, _ in docs if i % 2 == 0}
