@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import free, slices, small_batches
 
-#: Words that a unit has at least.
+#: Words that a unit has at least, if it is not a whole line.
 WORDS = 8
 #: A line, or a sentence of a line, with the marks that end it.
 PIECE = re.compile(r"[^\n.!?]+(?:[.!?]+(?![\s.!?]|$)[^\n.!?]*)*[.!?]*")
@@ -27,24 +27,30 @@ def units(text: str, least: int = WORDS) -> list[tuple[int, int, bytes]]:
 
     The pieces of a text are its lines, cut further into sentences. Each piece starts a unit that runs on
     until it has ``least`` words, and a shorter piece also ends one that runs back as far. So where a unit
-    lies depends on its own words alone, and a passage is found in the middle of a line as well. Units are
-    normalised by case and white space.
+    lies depends on its own words alone, and a passage is found in the middle of a line as well. A line of
+    fewer words is a unit as a whole, too, whatever stands around it; so are short texts and short lines
+    without white space. Units are normalised by case and white space.
     """
     import xxhash
 
     words: list[str] = []
-    first, spans = [], []
+    first, spans, lines = [], [], []
     for m in PIECE.finditer(text):
         w = m.group().lower().split()
         if w:
             first.append(len(words))
             words += w
             a, b = m.span()
+            if not spans or text.find("\n", spans[-1][1], a) >= 0:
+                lines.append(len(spans))
             spans.append((a, b))
     total, n = len(words), len(spans)
     first.append(total)
     digest = xxhash.xxh128_digest
     out = []
+    for i, j in zip(lines, [*lines[1:], n], strict=False):
+        if first[j] - first[i] < least:
+            out.append((spans[i][0], spans[j - 1][1], digest(" ".join(words[first[i] : first[j]]).encode("utf-8", "replace"))))
     j = 0
     for i in range(n):
         j = max(j, i + 1)

@@ -92,3 +92,10 @@ def test_long_passages_stay_once(spark):
 
 def test_empty(spark):
     assert S.drop_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_lines_go_in_differing_surroundings(spark):
+    """Lines under eight words, a short text and lines of a script without white space."""
+    docs = [(1, "First words of one.\nRead more here\nAn end."), (2, "Other words stand here.\nread  more here\nNo end at all."), (3, "Read more here"), (4, "版权所有不得转载\n甲"), (5, "乙\n版权所有不得转载")]
+    out = {x["doc_id"]: x["text"] for x in S.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out == {1: docs[0][1], 2: "Other words stand here.\nNo end at all.", 3: "", 4: docs[3][1], 5: "乙\n"}
