@@ -18,6 +18,8 @@ BUCKETS = 1 << 15
 SAMPLE = 600
 #: Words whose emissions a worker remembers; then it forgets them and starts again.
 REMEMBERED = 200_000
+#: Letters of the words and features that are remembered; longer ones count as well but are looked at anew.
+LONG = 64
 #: Words of a block, within which a chain is followed; blocks go side by side.
 BLOCK = 128
 
@@ -28,7 +30,9 @@ class Grams(dict):
     def __missing__(self, feature: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        self[feature] = got = zlib.crc32(feature.encode("utf-8", "replace")) % BUCKETS
+        got = zlib.crc32(feature.encode("utf-8", "replace")) % BUCKETS
+        if len(feature) <= LONG + 1:
+            self[feature] = got
         return got
 
 
@@ -36,8 +40,8 @@ _grams = Grams()
 
 
 def letters_of(word: str) -> str:
-    """A lower-cased word's letters, 64 at most."""
-    return (word if word.isalpha() else "".join([c for c in word if c.isalpha()]))[:64]
+    """A lower-cased word's letters, all of them: where a script has no spaces a word may be a whole text."""
+    return word if word.isalpha() else "".join([c for c in word if c.isalpha()])
 
 
 def word_features(letters: str) -> list[int]:
@@ -130,6 +134,7 @@ class Model:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.rows: dict[str, int] = {}
+        self.size = 0
         self.table = np.empty((0, len(self.langs)), np.float32)
 
     def row(self, word: str, new: list[list[int]]) -> int:
@@ -138,16 +143,20 @@ class Model:
         if not letters:
             at = -1
         elif (at := self.rows.get(letters, -1)) < 0:
-            at = self.rows[letters] = len(self.rows)
+            at = self.size
+            self.size += 1
             new.append(word_features(letters))
-        self.known[word] = at
+            if len(letters) <= LONG:
+                self.rows[letters] = at
+        if len(word) <= 2 * LONG:
+            self.known[word] = at
         return at
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """For each text the language with the most expected words, and its share of them."""
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        if len(self.known) > REMEMBERED:
+        if max(len(self.known), self.size) > REMEMBERED:
             self.forget()
         ids, lengths = [], []
         new: list[list[int]] = []

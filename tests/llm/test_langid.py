@@ -87,3 +87,14 @@ def test_no_labels_and_no_rows(spark):
     model = L.train(df, F.lit(True))
     assert L.identify(df, model).first()["lang_pred"] == "und"
     assert L.identify(df.limit(0), model).collect() == []
+
+
+def test_long_words_count_whole():
+    """Text without spaces is judged from all its letters, not from its first 64."""
+    r = random.Random(4)
+    run = lambda lang, n: words(r, lang, n).replace(" ", "")
+    model = L.fit([(words(r, lang, 40), lang) for lang in list(SOUNDS) * 20])
+    texts = [run("aa", 40)[:64] + run("bb", 400), run("cc", 40)[:64] + run("aa", 400)]
+    assert [p for p, _ in model.predict(texts)] == ["bb", "aa"]
+    assert [p for p, _ in model.predict(texts[::-1])] == ["aa", "bb"]
+    assert L.letters_of("é1" * 100) == "é" * 100
