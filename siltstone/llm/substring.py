@@ -152,14 +152,20 @@ def spans(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
 
 
 def removed(text: str, cuts: list[int], keeps: list[int]) -> list[tuple[int, int]]:
-    """The spans to take out: the union of ``cuts`` without what ``keeps`` cover, each with the space after it."""
+    """The spans to take out, each with the space after it: the union of ``cuts``, each without the first of its own words in ``keeps``.
+
+    What a cut takes from other units that are kept still stands at its own first occurrence. Only where a
+    unit overlaps its own repeat, as in ``a. a. a.``, the first would lose words to it.
+    """
     marks = bytearray(len(text))
+    words = lambda a, b: " ".join(text[a:b].lower().split())
+    firsts = {words(a, b): (a, b) for a, b in ((p >> 32, p & 0xFFFFFFFF) for p in keeps)}
     for p in cuts:
         a, b = p >> 32, p & 0xFFFFFFFF
-        marks[a:b] = b"\x01" * (b - a)
-    for p in keeps:
-        a, b = p >> 32, p & 0xFFFFFFFF
-        marks[a:b] = bytes(b - a)
+        c, d = firsts.get(words(a, b), (b, b)) if firsts else (b, b)
+        for x, y in ((a, min(b, c)), (max(a, d), b)):
+            if x < y:
+                marks[x:y] = b"\x01" * (y - x)
     out = []
     at = marks.find(1)
     while at >= 0:

@@ -99,3 +99,12 @@ def test_short_lines_go_in_differing_surroundings(spark):
     docs = [(1, "First words of one.\nRead more here\nAn end."), (2, "Other words stand here.\nread  more here\nNo end at all."), (3, "Read more here"), (4, "版权所有不得转载\n甲"), (5, "乙\n版权所有不得转载")]
     out = {x["doc_id"]: x["text"] for x in S.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert out == {1: docs[0][1], 2: "Other words stand here.\nNo end at all.", 3: "", 4: docs[3][1], 5: "乙\n"}
+
+
+def test_a_repeat_goes_though_a_wider_unit_is_first(spark):
+    """A line repeats an earlier one; with its short neighbour it is first here and comes again later."""
+    line = "Yes it is. This sentence has at least eight words in it."
+    docs = [(1, "One two three four five six seven eight nine.\n" + line), (2, "A heading.\n" + line), (3, "A heading.\n" + line), (4, "Na. " * 30)]
+    out = {x["doc_id"]: x["text"] for x in S.drop_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[1] == docs[0][1] and out[2] == "A heading.\n" and out[3] == ""
+    assert out[4].startswith("Na. " * 7 + "Na.")
