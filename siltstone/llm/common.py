@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -24,15 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder takes its place.
+    Where that is unset, as in tests on one machine, a temporary folder takes its place; on a cluster, whose
+    executors would not see it, that is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.sparkContext.setCheckpointDir(there)
     return there
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of ours, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened where columns of ``df`` have them already."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -78,12 +88,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             start = stop
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as a row may hold a very long text (or, where fewer are asked for, megabytes)."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds ``out``: the total of ``value`` over all rows before each one in the order given.
 

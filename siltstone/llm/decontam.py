@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import ship, slices
 
 #: One error is allowed for so many characters of an item.
 PER_ERROR = 12
@@ -126,7 +126,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR
     documents give a row each; other columns are left out.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id long, item_id long, errors int, start int, end int"
     out = None
@@ -148,7 +148,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR, text: str = "text") -> DataFrame:
     """The documents that hold no benchmark item, with the columns they came with; nothing is shuffled."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
     for items in blocks(benchmark, "item_id", "text"):
         sent = spark.sparkContext.broadcast((items, per_error))
 

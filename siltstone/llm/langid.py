@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import ship, slices
 
 #: Rows of feature weights; with one column for each language this is the size of a model.
 BUCKETS = 1 << 15
@@ -263,7 +263,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
     have no letter give ``und`` with score 0, as does every text under a model without languages.
     Repeated rows are predicted each; other columns are left out.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

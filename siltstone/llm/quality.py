@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import ship, slices
 
 #: Weights of a model: their number is fixed, so a model is 1 MB whatever the corpus.
 BUCKETS = 1 << 18
@@ -142,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_on: Column, sample: int = SA
     executors, and only they reach the driver. Null labels and ids are left out; of several labels of one
     document the smallest counts. Without labelled rows every score is 0.5.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.where(learn_on).groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "
     Null and empty texts have the score of a text without n-grams. Repeated rows are scored each; other
     columns are left out.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +185,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
 
     Scores travel with their rows, so nothing is joined or shuffled.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

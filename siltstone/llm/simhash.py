@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, slices, small_batches
+from .common import cut, free, ship, slices
 
 #: Fingerprints that one trie holds at most; a larger trie is dealt out as pairs of parts.
 TRIE = 1 << 15
@@ -142,7 +142,7 @@ def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text:
 
     ``row`` is a hash of id and text; ``id`` tells apart what is linked: fingerprints, or texts if ``similar``.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
@@ -308,7 +308,6 @@ def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = N
         task, side = F.xxhash64("kind", "value"), F.lit(0)
     tasks = keyed.select("id", "fp", "kind", task.alias("task"), side.alias("side"), *extra)
     dealt = tasks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "task").sortWithinPartitions("task")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8192")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -393,7 +392,7 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, words: i
     task, side = F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int")
     met = docs.join(dealt.select("row", "id", task.alias("task"), side.alias("side")), "row").select("task", "side", "id", "text")
     met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "task").sortWithinPartitions("task")
-    small_batches(spark)
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sides, sets = None, [], [], []

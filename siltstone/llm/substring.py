@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, slices, small_batches
+from .common import free, ship, slices
 
 #: Words that a unit has at least, if it is not a whole line.
 WORDS = 8
@@ -91,7 +91,7 @@ def spans(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
     is; there the first of each digest is found while rows stream by in order.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    ship(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 8 << 20):

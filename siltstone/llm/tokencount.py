@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import ship, slices
 
 #: How a byte-level tokenizer cuts a text into pre-tokens (``\s`` is Unicode's White_Space).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -86,7 +86,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
     tokens inside a text count as that one token, as the library's default has it. A null text is empty:
     0 bytes, 0 tokens. Each input row gives one row, repeated rows too; other columns are left out.
     """
-    small_batches(docs.sparkSession)
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, slices, small_batches
+from .common import shared_dir, ship, slices
 
 #: Records with equal payloads of at least so many bytes are written once and revisited.
 REVISIT = 1000
@@ -125,7 +125,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, shard_rows: int
     no target. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
-    small_batches(spark)
+    ship(spark)
     base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     keyed = base.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n"))
     # Only ids and digests travel to find equal payloads; the payloads themselves move once, to their shard.
@@ -218,8 +218,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
     the writer) and from any store that Spark reads. Digests are checked. With ``payloads`` each response
     has its payload too.
     """
-    small_batches(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    ship(spark)
     listed = spark.read.parquet(f"{folder}/{MANIFEST}").select("file")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "records-*.warc.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
