@@ -88,6 +88,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             start = stop
 
 
+def texts(column: pa.Array) -> list[str | None]:
+    """A string column's values; what is no UTF-8 in them reads as U+FFFD."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if v is None else v.decode("utf-8", "replace") for v in column.cast(pa.binary()).to_pylist()]
+
+
 def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds ``out``: the total of ``value`` over all rows before each one in the order given.
 

@@ -1,4 +1,4 @@
-"""Substring dedup: repeated lines and sentences are found by global digests and cut out."""
+"""Substring dedup: repeated lines and paragraphs of sentences are found by global digests and cut out."""
 
 from __future__ import annotations
 
@@ -10,60 +10,74 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free, ship, slices
+from .common import free, ship, slices, texts
 
-#: Words that a unit has at least, if it is not a whole line.
-WORDS = 8
+#: Words that a unit has at least. Sentences and lines of fewer words come again in texts that have nothing else in common.
+WORDS = 20
+#: Letters of a word that count as one word more, where it is longer than any: in scripts without spaces a word is a whole sentence.
+LETTERS, LONG = 8, 24
+#: Units that are compared within a task before any is shuffled.
+BLOCK = 1 << 18
 #: A line, or a sentence of a line, with the marks that end it.
-PIECE = re.compile(r"[^\n.!?]+(?:[.!?]+(?![\s.!?]|$)[^\n.!?]*)*[.!?]*")
+PIECE = re.compile(r"[^\n.!?。！？]+(?:[.!?]+(?![\s.!?]|$)[^\n.!?。！？]*)*[.!?。！？]*")
 UNIT = "doc_id long, row long, pos long, h1 long, h2 long, kind int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("pos", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("kind", pa.int32())])
 #: What happens to a unit's span: undecided, cut out, kept as the first of several, or first of several in its block.
 OPEN, CUT, KEEP, LED = 0, 1, 2, 3
 
 
-def units(text: str, least: int = WORDS) -> list[tuple[int, int, bytes]]:
+def weight(word: str) -> int:
+    """How many words a word counts as."""
+    return 1 if len(word) < LONG else len(word) // LETTERS
+
+
+def units(text: str, least: int = WORDS, short_lines: bool = False) -> list[tuple[int, int, bytes]]:
     """(start, end, digest) of a whole text's units, by character offsets.
 
     The pieces of a text are its lines, cut further into sentences. Each piece starts a unit that runs on
-    until it has ``least`` words, and a shorter piece also ends one that runs back as far. So where a unit
-    lies depends on its own words alone, and a passage is found in the middle of a line as well. A line of
-    fewer words is a unit as a whole, too, whatever stands around it; so are short texts and short lines
-    without white space. Units are normalised by case and white space.
+    until it has ``least`` words, over ends of lines too, and a shorter piece also ends one that runs back as
+    far. So where a unit lies depends on its own words alone, and a passage is found in the middle of a line
+    as well. A text of fewer words in all is one unit. With ``short_lines`` a line of fewer words is a
+    unit as well, whatever stands around it. Units are normalised by case and white space.
     """
     import xxhash
 
     words: list[str] = []
-    first, spans, lines = [], [], []
+    at, size, spans, lines = [0], [0], [], []  # by piece: words and their weight before it; its span; pieces that start a line
     for m in PIECE.finditer(text):
         w = m.group().lower().split()
         if w:
-            first.append(len(words))
-            words += w
             a, b = m.span()
             if not spans or text.find("\n", spans[-1][1], a) >= 0:
                 lines.append(len(spans))
+            words += w
+            at.append(len(words))
+            size.append(size[-1] + sum(map(weight, w)))
             spans.append((a, b))
-    total, n = len(words), len(spans)
-    first.append(total)
-    digest = xxhash.xxh128_digest
-    out = []
-    for i, j in zip(lines, [*lines[1:], n], strict=False):
-        if first[j] - first[i] < least:
-            out.append((spans[i][0], spans[j - 1][1], digest(" ".join(words[first[i] : first[j]]).encode("utf-8", "replace"))))
+    n = len(spans)
+    out: dict[tuple[int, int], bytes] = {}
+
+    def add(i: int, j: int) -> None:
+        out[spans[i][0], spans[j - 1][1]] = xxhash.xxh128_digest(" ".join(words[at[i] : at[j]]).encode("utf-8", "replace"))
+
+    if n and size[n] < least:
+        add(0, n)
+    for i, j in zip(lines, [*lines[1:], n], strict=False) if short_lines else ():
+        if size[j] - size[i] < least:
+            add(i, j)
     j = 0
     for i in range(n):
         j = max(j, i + 1)
-        while j < n and first[j] - first[i] < least:
+        while j < n and size[j] - size[i] < least:
             j += 1
-        if first[j] - first[i] >= least:
-            out.append((spans[i][0], spans[j - 1][1], digest(" ".join(words[first[i] : first[j]]).encode("utf-8", "replace"))))
-        if first[i + 1] - first[i] < least <= first[i + 1]:
+        if size[j] - size[i] >= least:
+            add(i, j)
+        if size[i + 1] - size[i] < least <= size[i + 1]:
             k = i
-            while first[i + 1] - first[k] < least:
+            while size[i + 1] - size[k] < least:
                 k -= 1
-            out.append((spans[k][0], spans[i][1], digest(" ".join(words[first[k] : first[i + 1]]).encode("utf-8", "replace"))))
-    return out
+            add(k, i + 1)
+    return [(a, b, h) for (a, b), h in out.items()]
 
 
 def repeats(doc_id: np.ndarray, row: np.ndarray, pos: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,16 +91,16 @@ def repeats(doc_id: np.ndarray, row: np.ndarray, pos: np.ndarray, h1: np.ndarray
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
     place = np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1]))) | new
-    return order, new, place & ~new & ((r != r[lead]) | (p != p[lead]))
+    return order, new, place & ~new & ((d != d[lead]) | (r != r[lead]) | (p != p[lead]))
 
 
 NONE = np.iinfo(np.int64).max
 
 
-def spans(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
-    """(row, kind, pos) of spans to cut or to keep; ``row`` is a hash of id and text, ``pos`` start << 32 | end.
+def spans(docs: DataFrame, least: int, short_lines: bool, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, row, kind, pos) of spans to cut or to keep; ``row`` is a hash of id and text, ``pos`` start << 32 | end.
 
-    Where a unit repeats one of lower rank among the texts of one block, that is decided at once and the
+    Where a unit repeats one of lower rank among BLOCK units of a task, that is decided at once and the
     row only passes through. So at most one row a block and digest meets in a task, however common a unit
     is; there the first of each digest is found while rows stream by in order.
     """
@@ -94,29 +108,37 @@ def spans(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
     ship(spark)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
-            ids, rows = b.column("doc_id").fill_null(NONE).to_numpy(), b.column("row").to_numpy()
-            owner, pos, digests = [], [], []
-            for i, t in enumerate(b.column("text").to_pylist()):
-                got = units(t or "", least)
-                owner += [i] * len(got)
-                pos += [s << 32 | e for s, e, _ in got]
-                digests += [h for *_, h in got]
-            if not owner:
-                continue
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            o, p = np.array(owner), np.array(pos, np.int64)
-            order, new, repeat = repeats(ids[o], rows[o], p, h[:, 0], h[:, 1])
+        held: list[tuple[np.ndarray, ...]] = []  # doc_id, row, pos, digest by batch
+
+        def decided() -> pa.RecordBatch:
+            ids, rows, pos, h = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, new, repeat = repeats(ids, rows, pos, h[:, 0], h[:, 1])
             pick = new | repeat
             # A leader whose digest was repeated here stays whole, wherever else it occurs first.
             order, kind = order[pick], np.where(new, OPEN, CUT)[pick].astype(np.int32)
             led = np.cumsum(new[pick]) - 1
-            twice = np.zeros(led[-1] + 1, np.int64)
-            np.add.at(twice, led, 1)
+            twice = np.bincount(led)
             kind = np.where((kind == OPEN) & (twice[led] > 1), LED, kind).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[o][order], rows[o][order], p[order], h[order, 0], h[order, 1], kind)], schema=ARROW)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[order], rows[order], pos[order], h[order, 0], h[order, 1], kind)], schema=ARROW)
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
+        for b in slices(batches, "text", 8 << 20):
+            ids, rows = b.column("doc_id").to_numpy(), b.column("row").to_numpy()
+            owner, pos, digests = [], [], []
+            for i, t in enumerate(texts(b.column("text"))):
+                got = units(t or "", least, short_lines)
+                owner += [i] * len(got)
+                pos += [s << 32 | e for s, e, _ in got]
+                digests += [h for *_, h in got]
+            if owner:
+                o = np.array(owner)
+                held.append((ids[o], rows[o], np.array(pos, np.int64), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)))
+            if sum(len(x[0]) for x in held) >= BLOCK:
+                yield decided()
+                held.clear()
+        if held:
+            yield decided()
+
+    narrow = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NONE)).alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
     found = narrow.mapInArrow(find, UNIT)
     # Decided rows are dealt out by their document, the others by their digest.
     by = F.when(F.col("kind") == CUT, F.xxhash64("row", "pos")).otherwise(F.col("h1"))
@@ -124,31 +146,29 @@ def spans(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
     dealt = found.withColumn("by", by).repartition(n, "by").drop("by").sortWithinPartitions("h1", "h2", "doc_id", "row", "pos")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the digest at the end of the last batch and its leader: h1, h2, row, pos
+        last = None  # the digest at the end of the last batch and its leader: h1, h2, doc_id, row, pos
         for b in batches:
             if not b.num_rows:
                 continue
-            row, pos, h1, h2, kind = (b.column(c).to_numpy() for c in ("row", "pos", "h1", "h2", "kind"))
-            out_row, out_pos, out_kind = [], [], []
+            doc, row, pos, h1, h2, kind = (b.column(c).to_numpy() for c in ("doc_id", "row", "pos", "h1", "h2", "kind"))
             done = kind == CUT
-            out_row.append(row[done]), out_pos.append(pos[done]), out_kind.append(np.full(done.sum(), CUT))
-            row, pos, h1, h2, kind = (x[~done] for x in (row, pos, h1, h2, kind))
+            out = [(doc[done], row[done], pos[done], np.full(done.sum(), CUT))]
+            doc, row, pos, h1, h2, kind = (x[~done] for x in (doc, row, pos, h1, h2, kind))
             if len(row):
                 new = np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
                 lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                lead_row, lead_pos = row[lead], pos[lead]
+                first = [x[lead] for x in (doc, row, pos)]
                 if last is not None and (h1[0], h2[0]) == last[:2]:
-                    same = lead == 0
-                    lead_row, lead_pos = np.where(same, last[2], lead_row), np.where(same, last[3], lead_pos)
-                cut_ = (row != lead_row) | (pos != lead_pos)
-                out_row.append(row[cut_]), out_pos.append(pos[cut_]), out_kind.append(np.full(cut_.sum(), CUT))
+                    first = [np.where(lead == 0, x, y) for x, y in zip(last[2:], first, strict=True)]
+                gone = (doc != first[0]) | (row != first[1]) | (pos != first[2])
+                out.append((doc[gone], row[gone], pos[gone], np.full(gone.sum(), CUT)))
                 # Leaders that are repeated, here or in their own block, are kept.
-                keep = np.unique(lead[cut_ | (kind == LED)])
-                out_row.append(lead_row[keep]), out_pos.append(lead_pos[keep]), out_kind.append(np.full(len(keep), KEEP))
-                last = (h1[-1], h2[-1], lead_row[-1], lead_pos[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in ((out_row, np.int64), (out_pos, np.int64), (out_kind, np.int32))], names=["row", "pos", "kind"])
+                keep = np.unique(lead[gone | (kind == LED)])
+                out.append((*(x[keep] for x in first), np.full(len(keep), KEEP)))
+                last = (h1[-1], h2[-1], *(x[-1] for x in first))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in zip(zip(*out, strict=True), (np.int64, np.int64, np.int64, np.int32), strict=True)], names=["doc_id", "row", "pos", "kind"])
 
-    return dealt.mapInArrow(decide, "row long, pos long, kind int")
+    return dealt.mapInArrow(decide, "doc_id long, row long, pos long, kind int")
 
 
 def removed(text: str, cuts: list[int], keeps: list[int]) -> list[tuple[int, int]]:
@@ -179,41 +199,44 @@ def removed(text: str, cuts: list[int], keeps: list[int]) -> list[tuple[int, int
     return out
 
 
-def drop_repeats(docs: DataFrame, least: int = WORDS, doc_id: str = "doc_id", text: str = "text", report: bool = True) -> DataFrame:
+def drop_repeats(docs: DataFrame, least: int = WORDS, short_lines: bool = False, doc_id: str = "doc_id", text: str = "text", report: bool = True) -> DataFrame:
     """The documents without the lines and sentences that repeat an earlier ranked occurrence.
 
+    Units are lines and sentences, taken together until they have ``least`` words (see ``units``), so a
+    shorter line that many texts have stays in them, unless ``short_lines`` asks for those as well.
     Occurrences are ranked by doc_id, then by their place in the text; the first stays, and all others
     are taken out, in other documents and in its own. With ``report``, ``removed`` lists the (start, end)
     of what was taken out, in characters of the original text, and ``original_chars`` its length.
 
     Null texts stay null and empty texts empty; a text may become empty. Null ids come last. Rows equal in
-    id and text are one document: each of them keeps and loses the same. Other columns stay as they are,
-    but for ``removed`` and ``original_chars``, which are replaced where ``report`` asks for them.
+    id and text are one document: each of them keeps and loses the same. What is no UTF-8 reads as U+FFFD.
+    Other columns stay as they are, but for ``removed`` and ``original_chars``, which are replaced where
+    ``report`` asks for them.
     """
-    found = spans(docs, least, doc_id, text)
-    row, at, cuts_, keeps_ = free(docs, "_row", "_at", "_cuts", "_keeps")
-    lists = found.groupBy("row").agg(
+    found = spans(docs, least, short_lines, doc_id, text)
+    own, row, owner, at, cuts_, keeps_ = free(docs, "_own", "_row", "_owner", "_at", "_cuts", "_keeps")
+    lists = found.groupBy(F.col("doc_id").alias(owner), F.col("row").alias(at)).agg(
         F.collect_set(F.when(F.col("kind") == CUT, F.col("pos"))).alias(cuts_), F.collect_set(F.when(F.col("kind") == KEEP, F.col("pos"))).alias(keeps_)
-    ).where(F.size(cuts_) > 0).withColumnRenamed("row", at)
-    marked = docs.withColumn(row, F.xxhash64(doc_id, text))
+    ).where(F.size(cuts_) > 0)
+    marked = docs.withColumn(row, F.xxhash64(doc_id, text)).withColumn(own, F.coalesce(F.col(doc_id).cast("long"), F.lit(NONE)))
     names = [c for c in docs.columns if not (report and c in ("removed", "original_chars"))]
-    met = marked.join(lists, marked[row] == lists[at], "left").select(*names, cuts_, keeps_)
+    met = marked.join(lists, (marked[row] == lists[at]) & (marked[own] == lists[owner]), "left").select(*names, cuts_, keeps_)
     extra = [("removed", "array<struct<start:int,end:int>>"), ("original_chars", "int")] if report else []
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names] + [f"{n} {k}" for n, k in extra])
     gone = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
-            texts, lost, sizes = [], [], []
-            for t, cuts, keeps in zip(b.column(text).to_pylist(), b.column(cuts_).to_pylist(), b.column(keeps_).to_pylist(), strict=True):
+            clean, lost, sizes = [], [], []
+            for t, cuts, keeps in zip(texts(b.column(text)), b.column(cuts_).to_pylist(), b.column(keeps_).to_pylist(), strict=True):
                 out = removed(t, cuts, keeps or []) if t and cuts else []
                 lost.append([{"start": s, "end": e} for s, e in out])
                 sizes.append(None if t is None else len(t))
                 if out:
                     edges = [0, *(x for s in out for x in s), len(t)]
                     t = "".join(t[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
-                texts.append(t)
-            columns = [pa.array(texts, b.column(c).type) if c == text else b.column(c) for c in names]
+                clean.append(t)
+            columns = [pa.array(clean, b.column(c).type) if c == text else b.column(c) for c in names]
             if report:
                 columns += [pa.array(lost, gone), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=names + [n for n, _ in extra])
