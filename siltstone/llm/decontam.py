@@ -8,16 +8,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ship, slices, texts
 
 #: One error is allowed for so many characters of an item.
 PER_ERROR = 12
-#: Items that one automaton holds; more items take more passes, a block of items each.
-BLOCK = 20_000
+#: Items of fewer characters are held only by a text that has nothing else: they are in too many texts by chance.
+TINY = 16
+#: Bytes of items that one automaton holds (about forty times that in memory); more items take more passes, a block of items each.
+BLOCK = 4 << 20
 #: Distances that a worker remembers, for passages that many documents share.
 REMEMBERED = 20_000
 #: ASCII marks count as spaces.
 MARKS = str.maketrans(dict.fromkeys("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", " "))
+#: First and last characters of scripts that are written without spaces between words.
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF)]
 
 
 def normal(text: str | None) -> str:
@@ -25,6 +29,12 @@ def normal(text: str | None) -> str:
     return " ".join((text or "").lower().translate(MARKS).split())
 
 
+def bordered(item: str) -> str:
+    """An item with the spaces that must stand before and after it, so that it is not found within words."""
+    within = lambda c: any(a <= ord(c) <= b for a, b in UNSPACED)
+    return " " * (not within(item[0])) + item + " " * (not within(item[-1]))
+
+
 def myers(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
     """(errors, start, end) of the part of ``text`` nearest to ``pattern`` within ``most`` errors; else None.
 
@@ -65,7 +75,12 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], per_error: int):
         import ahocorasick
 
-        self.items = [(i, p, len(p) // per_error) for i, p in ((i, normal(t)) for i, t in items) if p]
+        named = [(i, p) for i, p in ((i, normal(t)) for i, t in items) if p]
+        self.tiny: dict[str, list[int]] = {}
+        for i, p in named:
+            if len(p) < TINY:
+                self.tiny.setdefault(p, []).append(i)
+        self.items = [(i, bordered(p), len(p) // per_error) for i, p in named if len(p) >= TINY]
         self.tree, owners = ahocorasick.Automaton(), {}
         for at, (_, p, budget) in enumerate(self.items):
             cuts = [round(j * len(p) / (budget + 1)) for j in range(budget + 2)]
@@ -80,8 +95,12 @@ class Matcher:
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, errors, start, end) of the best occurrence of each item in the normalised text."""
         t = normal(text)
-        if not t or not self.items:
+        if not t:
             return []
+        whole = [(i, 0, 0, len(t)) for i in self.tiny.get(t, ())]
+        if not self.items:
+            return sorted(whole)
+        t = f" {t} "
         best: dict[int, tuple[int, int, int]] = {}
         looked: dict[int, int] = {}
         for end, (n, own) in self.tree.iter(t):
@@ -101,13 +120,16 @@ class Matcher:
                 hit = self.known[key]
                 if hit and (got is None or hit[0] < got[0]):
                     best[at] = (hit[0], lo + hit[1], lo + hit[2])
-        return [(self.items[at][0], *hit) for at, hit in sorted(best.items())]
+        # Offsets are those of the text without the spaces put around it and around the item.
+        found = [(self.items[at][0], e, a + (t[a] == " ") - 1, b - (t[b - 1] == " ") - 1) for at, (e, a, b) in best.items()]
+        return sorted(whole + found)
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items in blocks of about BLOCK, each of which fits the driver and every executor."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    n = max(1, -(-items.count() // BLOCK))
+    """The distinct items in blocks of about BLOCK bytes, each of which fits the driver and every executor."""
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.make_valid_utf8(F.col(text)).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
+    size = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
+    n = max(1, -(-size // BLOCK))
     for b in range(n):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()
         yield sorted((r["i"], r["t"]) for r in rows)
@@ -118,11 +140,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR
 
     An item is held if a part of the document's text differs from it by at most one error (a character
     put in, left out or changed) for ``per_error`` characters, both normalised by case, marks and white
-    space. Offsets are characters of the normalised text. Whole texts are searched; of several
-    occurrences the one with the fewest errors, then the first found, is given. Items of less than
-    ``per_error`` characters must occur exactly.
+    space. An item starts and ends where words do (a missing border is an error as well), but for scripts
+    written without spaces. Offsets are characters of the normalised text. Whole texts are searched; of
+    several occurrences the one with the fewest errors, then the first found, is given. Items of less than
+    TINY characters are held only by texts that are nothing else.
 
-    Null and empty texts hold nothing, and items that are null or have no words are in nothing. Repeated
+    Null and empty texts hold nothing, what is no UTF-8 reads as U+FFFD, and items that are null or have no words are in nothing. Repeated
     documents give a row each; other columns are left out.
     """
     spark = docs.sparkSession
@@ -137,7 +160,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, per_error: int = PER_ERROR
             m = Matcher(*sent.value)
             kinds = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("errors", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
             for b in slices(batches, "text"):
-                got = [(i, *hit) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for hit in m.find(t)]
+                got = [(i, *hit) for i, t in zip(b.column("doc_id").to_pylist(), texts(b.column("text")), strict=True) for hit in m.find(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], f.type) for j, f in enumerate(kinds)], schema=kinds)
 
         found = narrow.mapInArrow(run, schema)
@@ -155,7 +178,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, per_error: int = PE
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             m = Matcher(*sent.value)
             for b in slices(batches, text):
-                yield b.filter(pa.array([not m.find(t) for t in b.column(text).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not m.find(t) for t in texts(b.column(text))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

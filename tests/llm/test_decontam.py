@@ -65,7 +65,7 @@ def test_matches_brute_force(spark):
     hits = []
     for i, t in docs:
         n = D.normal(t)
-        found = {j for j, p in ((j, D.normal(p)) for j, p in items) if p and n and fewest(p, n) <= len(p) // D.PER_ERROR}
+        found = {j for j, p in ((j, D.normal(p)) for j, p in items) if p and n and (fewest(f" {p} ", f" {n} ") <= len(p) // D.PER_ERROR if len(p) >= D.TINY else p == n)}
         hits += [(str(i), j) for j in found]
         want |= found
     assert sorted(set(got)) == sorted(set(hits)) and len(want) > 5
@@ -83,7 +83,7 @@ def test_errors_and_offsets(spark):
 
 
 def test_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(D, "BLOCK", 2)
+    monkeypatch.setattr(D, "BLOCK", 300)
     items = [(i, f"item number {i} of the whole benchmark set") for i in range(7)]
     docs = [(i, f"some words, then item number {i} of the whole benchmark set.") for i in range(7)]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
@@ -97,3 +97,13 @@ def test_empty(spark):
     assert D.find_items(docs, items).collect() == []
     some = spark.createDataFrame([(1, "a")], docs.schema)
     assert D.drop_contaminated(some, items).count() == 1
+
+
+def test_items_are_not_found_within_words(spark):
+    """Word borders, items too short to mean anything, scripts without spaces, and very long texts."""
+    items = [(1, "Yes"), (2, "A"), (3, "green bottles on it"), (4, "hundred years of time"), (5, "人工智能将会改变世界的面貌和未来的一切")]
+    docs = [(1, "Yesterday was fine."), (2, "yes!"), (3, "Evergreen bottles on items"), (4, "Green bottles, on it"), (5, "word " * 200_000 + "one hundred years of time, " + "word " * 200_000), (6, "我们认为人工智能将会改变世界的面貌和未来的一切可能"), (7, "a")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"], x["errors"]): (x["start"], x["end"]) for x in D.find_items(df, bench).collect()}
+    assert got == {(2, 1, 0): (0, 3), (7, 2, 0): (0, 1), (4, 3, 0): (0, 19), (5, 4, 0): (1_000_004, 1_000_025), (6, 5, 0): (4, 23)}
+    assert {x["doc_id"] for x in D.drop_contaminated(df, bench).collect()} == {1, 3}
