@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ship, slices, texts
 
 #: Weights of a model: their number is fixed, so a model is 1 MB whatever the corpus.
 BUCKETS = 1 << 18
 #: Labelled documents that a model is fitted on at most; those with the smallest hashes of their ids.
 SAMPLE = 3000
+#: Bytes of a text that a model is fitted on; longer ones are left out of the sample, which so is bounded on the driver.
+LONGEST = 1 << 18
 #: Words that a worker remembers; then it forgets them and starts again.
 REMEMBERED = 200_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -34,14 +36,14 @@ def shape(word: str) -> str:
     if len(end) > 1:
         end = RUNS.sub(r"\1", end)
     if core.islower() and core.isalpha():
-        return ("a" + end)[:12]
+        return "a" + end
     if core.isalpha() and core.isupper():
-        return ("A" + end)[:12]
+        return "A" + end
     if core.isalpha() and core.istitle():
-        return ("Aa" + end)[:12]
+        return "Aa" + end
     if not core.isascii():
         core = "".join("a" if c.islower() else "A" if c.isupper() else "u" if c.isalpha() else "0" if c.isdigit() else c if c < "\x80" else "*" for c in core)
-    return (RUNS.sub(r"\1", core.translate(OUTLINE)) + end)[:12]
+    return RUNS.sub(r"\1", core.translate(OUTLINE)) + end
 
 
 class Words(dict):
@@ -60,8 +62,10 @@ class Outlines(dict):
     def __missing__(self, outline: str) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        self[outline] = zlib.crc32(outline.encode("utf-8", "replace"), 7)
-        return self[outline]
+        got = zlib.crc32(outline.encode("utf-8", "replace"), 7)
+        if len(outline) <= 64:
+            self[outline] = got
+        return got
 
 
 _words, _outlines = Words(), Outlines()
@@ -139,24 +143,24 @@ def train(docs: DataFrame, labels: DataFrame, learn_on: Column, sample: int = SA
     """Fits a model on at most ``sample`` labelled documents of those that ``learn_on`` (on doc_id) admits.
 
     The sample is that of the smallest hashes of the ids; its n-grams are taken from whole texts on the
-    executors, and only they reach the driver. Null labels and ids are left out; of several labels of one
+    executors, and only they reach the driver; texts of over LONGEST bytes are left out. Null labels and ids are left out; of several labels of one
     document the smallest counts. Without labelled rows every score is 0.5.
     """
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.where(learn_on).groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            got = [summed(t) for t in b.column("text").to_pylist()]
+            got = [summed(t) for t in texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("y"), pa.array([a for a, _ in got], pa.list_(pa.int64())), pa.array([v for _, v in got], pa.list_(pa.float64()))],
                 names=["doc_id", "y", "at", "v"],
             )
 
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at array<long>, v array<double>").toArrow()
+    rows = whole.join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at array<long>, v array<double>").toArrow()
     order = np.argsort([zlib.crc32(str(i).encode()) for i in rows.column("doc_id").to_pylist()], kind="stable")
     at, v, y = rows.column("at"), rows.column("v"), rows.column("y")
     return fit([(at[i].values.to_numpy(), v[i].values.to_numpy(), y[i].as_py()) for i in order.tolist()])
@@ -173,7 +177,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            s = [sent.value.score(t) for t in b.column("text").to_pylist()]
+            s = [sent.value.score(t) for t in texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -190,6 +194,6 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            yield b.filter(pa.array([sent.value.score(t) >= threshold for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([sent.value.score(t) >= threshold for t in texts(b.column("text"))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -59,3 +59,43 @@ def test_scores_are_sparse_dot_products():
 
 def test_outlines():
     assert [Q.shape(w) for w in ["word", "Word.", "WORD!!", "w***", "1999", "aB1", "été", "***", ""]] == ["a", "Aa.", "A!", "a*", "0", "aA0", "a", "*", ""]
+
+
+def test_learner_matches_a_plain_one():
+    """Follow-the-regularised-leader against a loop over single weights, as published."""
+    import math
+    import random
+
+    import numpy as np
+    from siltstone.llm import quality as Q
+
+    r = random.Random(5)
+    rows = [(np.array(sorted(r.sample(range(40), 6))), np.array([r.random() for _ in range(6)]), r.randint(0, 1)) for _ in range(120)]
+    leader = Q.Leader()
+    z, n, bias = {}, {}, 0.0
+    a, b, l1, l2 = leader.alpha, leader.beta, leader.l1, leader.l2
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+
+    for at, v, y in rows:
+        leader.learn(at, v, y, 1.5)
+        w = {i: weight(i) for i in at.tolist()}
+        p = 1 / (1 + math.exp(-(sum(w[i] * x for i, x in zip(at.tolist(), v.tolist())) + bias)))
+        for i, x in zip(at.tolist(), v.tolist()):
+            g = (p - y) * x * 1.5
+            s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / a
+            z[i], n[i] = z.get(i, 0.0) + g - s * w[i], n.get(i, 0.0) + g * g
+        bias -= 0.02 * (p - y) * 1.5
+    got = leader.weights(slice(None))
+    assert abs(leader.bias - bias) < 1e-9 and all(abs(got[i] - weight(i)) < 1e-9 for i in range(40)) and not got[40:].any()
+
+
+def test_outlines_have_no_end():
+    """Two long tokens that differ after any number of characters have outlines of their own."""
+    from siltstone.llm import quality as Q
+
+    one, two = "a1" * 50 + "b!", "a1" * 50 + "B?"
+    assert Q.shape(one) != Q.shape(two) and Q.features(one)[0].tolist() != Q.features(two)[0].tolist()
