@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ship, slices, texts
 
 #: Rows of feature weights; with one column for each language this is the size of a model.
 BUCKETS = 1 << 15
-#: Documents that a model is fitted on at most: those with the smallest hashes of their ids.
-SAMPLE = 600
+#: Documents that a model is fitted on at most, as many of each language (but LEAST even of the rarest): those with the smallest hashes of their ids.
+SAMPLE, LEAST = 600, 20
+#: Bytes of a text that a model is fitted on; longer ones are left out of the sample, which so is bounded on the driver.
+LONGEST = 1 << 18
 #: Words whose emissions a worker remembers; then it forgets them and starts again.
 REMEMBERED = 200_000
 #: Letters of the words and features that are remembered; longer ones count as well but are looked at anew.
@@ -244,23 +246,28 @@ def fit(rows: list[tuple[str, str]], epochs: int = 12, rate: float = 0.5) -> Mod
 
 
 def train(docs: DataFrame, learn_on: Column, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits a model on at most ``sample`` documents with a language, of those that ``learn_on`` admits.
+    """Fits a model on about ``sample`` documents with a language, of those that ``learn_on`` admits.
 
-    The sample is that of the smallest hashes of the ids, found before any text is read; whole texts of
-    only these documents reach the driver.
+    The sample has as many documents of each language, or all there are, but at least LEAST: those with the smallest
+    hashes of their ids, found before any text is read. Whole texts of only these documents reach the
+    driver; texts of over LONGEST bytes are left out. Of several rows of one id the smallest counts.
     """
     ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).where(learn_on & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    many = ids.agg(F.count_distinct("lang")).first()[0]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.withColumn("place", place).where(F.col("place") <= max(LEAST, sample // max(many, 1))).select("doc_id").distinct()
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    got = rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    return fit([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: r["doc_id"])])
+    met = rows.join(F.broadcast(chosen), "doc_id").where(F.octet_length("text") <= LONGEST)
+    got = met.groupBy("doc_id").agg(F.min(F.struct("lang", F.make_valid_utf8("text").alias("text"))).alias("r")).collect()
+    return fit([(r["r"]["text"], r["r"]["lang"]) for r in sorted(got, key=lambda r: r["doc_id"])])
 
 
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (doc_id, lang_pred, score) for each document, from its whole text alone.
 
     ``score`` is the expected share of the text's words that are in ``lang_pred``. Texts that are null or
-    have no letter give ``und`` with score 0, as does every text under a model without languages.
+    have no letter give ``und`` with score 0, as does every text under a model without languages. Of
+    languages with equal shares the first by name is given.
     Repeated rows are predicted each; other columns are left out.
     """
     ship(docs.sparkSession)
@@ -268,7 +275,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 2 << 20):
-            got = sent.value.predict(b.column("text").to_pylist())
+            got = sent.value.predict(texts(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0] for g in got]), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
