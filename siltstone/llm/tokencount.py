@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices
+from .common import ship, slices, texts
 
 #: How a byte-level tokenizer cuts a text into pre-tokens (``\s`` is Unicode's White_Space).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -23,6 +24,22 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+def check(spec: dict) -> None:
+    """Raises unless a tokenizer file is byte-level BPE as ``Counter`` counts it; any other would be counted wrongly without a sign."""
+    model, pre = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    wrong = [
+        f"normalizer {spec['normalizer'].get('type')}" if spec.get("normalizer") else "",
+        f"model {model.get('type')}" if model.get("type", "BPE") != "BPE" else "",
+        f"pre-tokenizer {pre.get('type')}" if pre.get("type") != "ByteLevel" else "",
+        "add_prefix_space" if pre.get("add_prefix_space") else "",
+        "use_regex off" if not pre.get("use_regex", True) else "",
+        *[k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)],
+        *[f"added token {t['content']!r} that takes spaces or parts of words" for t in spec.get("added_tokens") or [] if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or (t.get("normalized") and not t.get("special"))],
+    ]
+    if any(wrong):
+        raise ValueError(f"no plain byte-level BPE file: {', '.join(w for w in wrong if w)}")
+
+
 class Counter:
     """Counts tokens of texts for one byte-level BPE file; ``whole`` holds the strings proven to be one token."""
 
@@ -30,6 +47,8 @@ class Counter:
         import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check(json.load(f))
         tok = Tokenizer.from_file(path)
         self.letters = byte_letters()
         back = {c: b for b, c in enumerate(self.letters)}
@@ -83,17 +102,19 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
     """Bytes and tokens of every text, as the tokenizer file at ``path`` gives them without added tokens.
 
     ``path`` must be readable on every executor (the files come with the library). Strings of special
-    tokens inside a text count as that one token, as the library's default has it. A null text is empty:
-    0 bytes, 0 tokens. Each input row gives one row, repeated rows too; other columns are left out.
+    tokens inside a text count as that one token, as the library's default has it. A file that is not plain
+    byte-level BPE is a ValueError. A null text is empty: 0 bytes, 0 tokens. What is no UTF-8 reads as U+FFFD. Each input row gives one row, repeated rows too; other columns are left out.
     """
     ship(docs.sparkSession)
+    with open(path, encoding="utf-8") as f:
+        check(json.load(f))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in slices(batches, "text"):
-            texts = [t or "" for t in b.column("text").to_pylist()]
+            whole = [t or "" for t in texts(b.column("text"))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([c.count(t) for t in texts], pa.int64())],
+                [b.column("doc_id"), pa.array([len(t.encode()) for t in whole], pa.int64()), pa.array([c.count(t) for t in whole], pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"],
             )
 

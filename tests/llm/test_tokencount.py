@@ -37,3 +37,19 @@ def test_every_whole_token_is_one():
 
 def test_empty(spark):
     assert T.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_other_kinds_of_files_are_refused(tmp_path):
+    """Whatever would be counted otherwise is an error, not a wrong count."""
+    import json
+
+    import public_tokenizers
+    import pytest
+    from siltstone.llm import tokencount as T
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    T.check(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"model": spec["model"] | {"type": "Unigram"}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError, match="byte-level"):
+            T.check(spec | change)
