@@ -12,35 +12,52 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, slices
+from .common import cut, remove_folder, shared_dir, ship, slices
 
 #: Records with equal payloads of at least so many bytes are written once and revisited.
 REVISIT = 1000
-#: Compressed bytes after which a file is closed, and records of a shard where SHARDS allow.
+#: Compressed bytes after which a file is closed, and records of a shard.
 ROLL, SHARD = 8 << 20, 4_000
-#: Shards at most, and keys that are drawn for each to place their borders: both bounded whatever the number of records.
-SHARDS, DRAWN = 20_000, 16
+#: From so many shards on, a shard has SHARD_BYTES of payload instead, if that is more.
+SHARDS, SHARD_BYTES = 20_000, 256 << 20
+#: Keys that are drawn for each shard to place its borders, and in all: 8 MB on the driver.
+DRAWN, DRAWN_IN_ALL = 16, 1 << 20
 #: All records' date, so that the same pages give the same bytes.
 DATE = "2026-01-01T00:00:00Z"
 MANIFEST = "manifest"
 
 
+def shards_for(rows: int, payload_bytes: int, shard_rows: int) -> int:
+    """As many shards as there are ``shard_rows``; beyond SHARDS of them, as many as there are SHARD_BYTES if that is fewer."""
+    by_rows = max(1, -(-rows // shard_rows))
+    return by_rows if by_rows <= SHARDS else min(by_rows, max(SHARDS, -(-payload_bytes // SHARD_BYTES)))
+
+
 def borders(keys: DataFrame, shards: int) -> list[int]:
-    """At most ``shards - 1`` page ids between shards, from the keys whose hashes are smallest: bounded and repeatable."""
+    """``shards - 1`` keys between shards, from the rows (key, digest) whose hashes are smallest: bounded and repeatable.
+
+    A key that many rows have, as the null ids' key may be, is the border of several shards; they share its rows.
+    """
     if shards < 2:
         return []
-    drawn = keys.where("page_id IS NOT NULL").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(DRAWN * shards)
-    ids = sorted(r["page_id"] for r in drawn.collect())
-    return sorted({ids[i * len(ids) // shards] for i in range(1, shards)}) if ids else []
+    order = [F.xxhash64("key", "digest"), "key"]
+    drawn = keys.orderBy(*order).limit(min(DRAWN * shards, DRAWN_IN_ALL)).select("key").toArrow()
+    ids = sorted(drawn.column("key").to_pylist())
+    return [ids[i * len(ids) // shards] for i in range(1, shards)] if ids else []
 
 
-def number_of_shard(key: Column, edges: list[int]) -> Column:
-    """How many edges are not above the key: first among every m-th edge, then among the m edges after those."""
+def number_of_shard(key: Column, digest: Column, edges: list[int]) -> Column:
+    """How many edges are below the key, and for a key that is an edge: one more, or by digest one of as many as are equal to it."""
     m = max(1, round(len(edges) ** 0.5))
     longs = lambda v: F.split(F.lit(",".join(map(str, v))), ",").cast("array<bigint>") if v else F.array().cast("array<bigint>")
-    below = lambda a: F.size(F.filter(a, lambda e: e <= key))
-    coarse = below(longs(edges[m - 1 :: m])) * m
-    return coarse + below(F.slice(longs(edges), coarse + 1, m))
+    all_, every = longs(edges), longs(edges[m - 1 :: m])
+
+    def count(test) -> Column:  # among every m-th edge, then among the m edges after those
+        coarse = F.size(F.filter(every, test)) * m
+        return coarse + F.size(F.filter(F.slice(all_, coarse + 1, m), test))
+
+    below, upto = count(lambda e: e < key), count(lambda e: e <= key)
+    return F.when(upto == below, below).otherwise(below + 1 + F.pmod(F.xxhash64(digest), upto - below)).cast("int")
 
 
 def safe(value: str) -> str:
@@ -115,32 +132,34 @@ class Roller:
 def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, shard_rows: int = SHARD, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes one record a row into ``folder`` (a URI all executors reach) and returns the manifest it commits.
 
-    Records are in the order of page_id, in shards whose borders depend on the page ids alone. Files
+    Records are in the order of page_id, in shards whose borders depend on page ids and payloads alone. Files
     are closed before they would pass ``roll`` compressed bytes. The manifest (file, records, bytes,
     sha1), written last, names what belongs to the archive; without it there is none.
 
     Of records with equal payloads of at least REVISIT bytes that with the largest page_id is a response
     and the others revisit it. A null payload is empty. A null page_id counts as the smallest. Rows equal
     in page_id and payload: the first is what one alone would be, the others revisit it. Null urls have
-    no target. An empty table gives an empty manifest.
+    no target. What is no UTF-8 is written as U+FFFD. An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     ship(spark)
-    base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    base = pages.select(F.col(page_id).cast("long").alias("page_id"), F.make_valid_utf8(F.col(url)).alias("url"), F.coalesce(F.make_valid_utf8(F.col(html)), F.lit("")).alias("html"))
     keyed = base.select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").alias("n"))
     # Only ids and digests travel to find equal payloads; the payloads themselves move once, to their shard.
     groups = keyed.where(F.col("n") >= REVISIT).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("c")).where("c > 1").select("digest", "last")
     notes = keyed.where(F.col("n") >= REVISIT).join(groups, "digest").where(~F.col("page_id").eqNullSafe(F.col("last")))
     notes = notes.groupBy("page_id", "digest").agg(F.min("last").alias("last"))
+    key = F.coalesce(F.col("page_id"), F.lit(-(1 << 63)))
     rows = pages.count()
-    edges = borders(base, max(1, min(SHARDS, -(-rows // shard_rows))))
-    shard = number_of_shard(F.coalesce(F.col("page_id"), F.lit(-(1 << 63))), edges)
+    size = keyed.agg(F.sum("n")).first()[0] if rows > SHARDS * shard_rows else 0
+    edges = borders(keyed.select(key.alias("key"), "digest"), shards_for(rows, size, shard_rows))
     empty = F.lit(None).cast("string")
-    both = base.select("page_id", F.lit(1).alias("kind"), "url", "html", empty.alias("digest"), F.lit(None).cast("long").alias("last")).union(
+    digest = F.sha1(F.col("html").cast("binary"))
+    both = base.select("page_id", F.lit(1).alias("kind"), "url", "html", digest.alias("digest"), F.lit(None).cast("long").alias("last")).union(
         notes.select("page_id", F.lit(0), empty, empty, "digest", "last")
     )
-    both = both.withColumn("shard", shard)
-    dealt = both.repartitionById(len(edges) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "page_id", "kind", F.xxhash64("html"), "url")
+    both = both.withColumn("shard", number_of_shard(key, F.col("digest"), edges))
+    dealt = both.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "digest", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -157,7 +176,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, shard_rows: int
                     refers[r["digest"]] = r["last"]
                     continue
                 payload = r["html"].encode()
-                digest = hashlib.sha1(payload).hexdigest()
+                digest = r["digest"]
                 revisit, to = digest in refers, refers.get(digest)
                 if not revisit and len(payload) >= REVISIT:
                     revisit, to = digest in seen, r["page_id"]
@@ -245,11 +264,18 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, **names: str) -> DataFrame:
-    """Writes the pages to a new archive (in the shared folder by default) and reads it back."""
+    """Writes the pages to a new archive and reads it back.
+
+    Without a folder the archive is in the shared folder, until its records have been read.
+    """
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_warc(pages, folder, **names)
-    return read_warc(spark, folder)
+    own = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(pages, own, **names)
+    if folder:
+        return read_warc(spark, own)
+    read = cut(read_warc(spark, own))
+    remove_folder(spark, own)
+    return read
 
 
 WARC_SQL = """

@@ -64,3 +64,21 @@ def test_left_behind_files_are_not_read(spark, tmp_path):
 
 def test_empty(spark):
     assert W.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_shards_grow_with_rows_and_share_a_common_key(spark):
+    """No number of shards is the last; null ids, a third of all rows, are in many shards, each payload in one."""
+    from pyspark.sql import functions as F
+    from siltstone.llm import warc as W
+
+    assert [W.shards_for(n, 0, 4000) for n in (0, 1, 4001, 80_000_000)] == [1, 1, 2, 20_000]
+    assert W.shards_for(10**10, 100 << 40, 4000) == 409_600
+    rows = [(None if i % 3 == 0 else i // 2, f"page {i % 700} " * 120) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    keyed = df.select(F.coalesce("page_id", F.lit(-(1 << 63))).alias("key"), F.sha1(F.col("html").cast("binary")).alias("digest"))
+    edges = W.borders(keyed, 30)
+    got = keyed.withColumn("shard", W.number_of_shard(F.col("key"), F.col("digest"), edges)).collect()
+    sizes = [sum(r["shard"] == s for r in got) for s in range(30)]
+    assert max(sizes) < 3 * 100 and len({r["shard"] for r in got if r["key"] < 0}) > 5
+    assert sorted((r["shard"], r["key"]) for r in got) == sorted(((r["shard"], r["key"]) for r in got), key=lambda x: (x[1], x[0]))
+    assert all(len({r["shard"] for r in got if (r["key"], r["digest"]) == k}) == 1 for k in {(r["key"], r["digest"]) for r in got[:50]})
