@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How many words of each document a mix takes, so that every source meets its target exactly.
 
-    Every row gets a key that is a hash of its id; rows are range-sorted by source and key; distributed
+    Every row gets a key that is a hash of its id (of its text, where the id is null); rows are range-sorted by source and key; distributed
     prefix sums of word counts place each row on its source's line. A source's budget is its target,
     rounded down. Whole epochs take every document; the last epoch takes documents in key order and cuts
     the one at the budget's end to the words that are left. ``copies`` are the whole epochs, ``part`` the
@@ -50,12 +50,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     three can't be told apart. An empty table gives an empty result. Other columns are left out, so their
     names can't clash.
     """
-    sized = cut(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-        .withColumn("key", F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 16))
-    )
+    name = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("binary")), F.lit(""))
+    key = F.substring(F.md5(F.concat(F.lit(seed), name).cast("binary")), 1, 16)
+    # The last number parts rows that are equal otherwise, so that they are spread over tasks as well.
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("nth")))
     src = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    placed = prefix_sum(sized, [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size")], "size", "before")
+    placed = prefix_sum(sized, [F.col("source").asc_nulls_last(), F.col("key"), F.col("doc_id"), F.col("size"), F.col("nth")], "size", "before")
     salted = src.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "s")
     placed = placed.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
     joined = placed.join(salted, placed["source"].eqNullSafe(salted["s"]) & (placed["salt"] == salted["salt"]))
