@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A rule set of up to this many rows is sent to every executor; a larger one is joined by shuffling.
-BROADCAST_RULES = 100_000
+#: A rule set of up to this many bytes is sent to every executor; a larger one is joined by shuffling.
+BROADCAST_RULES = 8 << 20
 
 
 def ascii_lower(c: Column) -> Column:
@@ -39,8 +39,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", page
     rules = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
     rules = rules.withColumn("short", F.xxhash64(F.concat_ws("\n", "rule_host", "rule_path")).bitwiseAND(0xFFFFFFFF))
     # Distinct lengths only: as many as the longest rule has labels and characters.
-    shape = rules.agg(F.collect_set(F.size(F.split("rule_host", r"\."))).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths"), F.count("*").alias("n")).first()
-    if shape["n"] <= BROADCAST_RULES:
+    shape = rules.agg(F.collect_set(F.size(F.split("rule_host", r"\."))).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths"), F.coalesce(F.sum(F.octet_length("rule_host") + F.octet_length("rule_path") + F.octet_length("rule_verdict") + 64), F.lit(0)).alias("bytes")).first()
+    if shape["bytes"] <= BROADCAST_RULES:
         rules = F.broadcast(rules)
     labels = F.split("host", r"\.")
     suffix = F.explode(F.array(*[F.when(F.size(labels) >= k, F.substring_index("host", ".", -k)) for k in sorted(shape["labels"])] or [F.lit(None).cast("string")]))
