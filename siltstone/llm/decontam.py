@@ -19,14 +19,14 @@ BLOCK = 4 << 20
 #: Distances that a worker remembers, for passages that many documents share.
 REMEMBERED = 20_000
 #: ASCII marks count as spaces.
-MARKS = str.maketrans(dict.fromkeys("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", " "))
+MARKS = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 #: First and last characters of scripts that are written without spaces between words.
 UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0x20000, 0x3FFFF)]
 
 
 def normal(text: str | None) -> str:
     """Lower case, marks as spaces, one space between words."""
-    return " ".join((text or "").lower().translate(MARKS).split())
+    return " ".join((text or "").lower().encode("utf-8", "replace").translate(MARKS).decode().split())
 
 
 def bordered(item: str) -> str:
@@ -42,7 +42,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
     integer operations. The end is the first of the best; the start is found by running backwards from it.
     """
 
-    def scan(p: str, t: str, anchored: bool) -> tuple[int, int]:
+    def scan(p: str, t: str, anchored: bool, limit: int) -> tuple[int, int]:
         m = len(p)
         where: dict[str, int] = {}
         for i, c in enumerate(p):
@@ -60,12 +60,14 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int, int] | None:
             vp, vn = hn | full & ~(d0 | hp), d0 & hp
             if score < best:
                 best, end = score, j
+            if score - len(t) + j > limit:  # it falls by one a character at most
+                break
         return best, end
 
-    errors, end = scan(pattern, text, False)
+    errors, end = scan(pattern, text, False, most)
     if errors > most:
         return None
-    _, back = scan(pattern[::-1], text[:end][::-1], True)
+    _, back = scan(pattern[::-1], text[:end][::-1], True, errors)
     return errors, end - back, end
 
 

@@ -94,9 +94,10 @@ def test_sketches_know_the_similarity():
         for _ in range(r.randint(0, 40)):
             v[r.randrange(len(v))] = "new"
         a, b = " ".join(w), " ".join(v)
-        same = sum(x == y for x, y in zip(S.signature(a)[2], S.signature(b)[2], strict=True)) / S.SLOTS
-        errors.append((same - 1 / 256) / (1 - 1 / 256) - jaccard(a, b))
-    assert abs(sum(errors)) / len(errors) < 0.01 and sum(e * e for e in errors) / len(errors) < 0.045**2
+        two = [[n >> k & 3 for n in S.unpacked([S.signature(t)[3]])[0].tolist() for k in range(0, 64, 2)] for t in (a, b)]
+        same = sum(x == y for x, y in zip(*two, strict=True)) / S.SLOTS
+        errors.append((same - 1 / 4) / (1 - 1 / 4) - jaccard(a, b))
+    assert abs(sum(errors)) / len(errors) < 0.01 and sum(e * e for e in errors) / len(errors) < 0.06**2
 
 
 def test_similar_documents_go_and_others_stay(spark):
@@ -153,14 +154,16 @@ def test_similarity_is_exact_at_the_threshold(spark):
     assert {f: root[2 * f] == root[2 * f + 1] for f in want} == want
 
 
-def test_parts_of_large_groups_lose_no_exact_link(spark, monkeypatch):
-    monkeypatch.setattr(S, "EXACT", 4000)
+@pytest.mark.parametrize("exact,most", [(4000, 12), (4000, 30), (9000, 24), (1 << 20, 24)])
+def test_parts_of_large_groups_lose_no_exact_link(spark, monkeypatch, exact, most):
+    """Near copies of one text in one part or many, all linked or (with more changes) in several components."""
+    monkeypatch.setattr(S, "EXACT", exact)
     r = random.Random(22)
     base = [f"v{r.randrange(10**6)}" for _ in range(300)]
     docs = []
     for i in range(40):
         w = list(base)
-        for j in range(r.randint(0, 12)):
+        for j in range(r.randint(0, most)):
             w[r.randrange(300)] = f"u{r.randrange(10**6)}"
         docs.append((i, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
@@ -183,7 +186,7 @@ def test_cut_and_inserted_passages_are_candidates(spark):
         a, b = " ".join(base), " ".join(copy)
         if jaccard(a, b) >= 0.8:
             docs += [(2 * f, a), (2 * f + 1, b)]
-            far += ((S.signature(a)[1] ^ S.signature(b)[1]) & (1 << 64) - 1).bit_count() > 7
+            far += ((S.signature(a)[2] ^ S.signature(b)[2]) & (1 << 64) - 1).bit_count() > 7
     assert len(docs) > 60 and far > 10
     kept = {x["doc_id"] for x in S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in docs if i % 2 == 0}
