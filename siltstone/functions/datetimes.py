@@ -41,15 +41,20 @@ def extract(field: str, x: Column, unix: bool = False) -> Column:
     return fields[field.upper()](t).cast("bigint")
 
 
-def to_char(x: Column, pattern: str) -> Column:
-    """Formats a timestamp by a pattern of YYYY, MM, DD, HH24, HH12, MI, SS, MS and US; other text as it is."""
+def java_pattern(pattern: str) -> str:
+    """A pattern of YYYY, MM, DD, HH24, HH12, MI, SS, MS and US as Java has it; other text as it is."""
     java, at, up = "", 0, pattern.upper()
     while at < len(up):
         token = next((t for t in sorted(PATTERNS, key=len, reverse=True) if up.startswith(t, at)), None)
         c = pattern[at]
         java += PATTERNS[token] if token else "''" if c == "'" else f"'{c}'" if c.isalpha() else c
         at += len(token) if token else 1
-    return F.coalesce(F.date_format(parse(x), java), x.cast("string"))
+    return java
+
+
+def to_char(x: Column, pattern: str) -> Column:
+    """Formats a timestamp by a pattern (see ``java_pattern``)."""
+    return F.coalesce(F.date_format(parse(x), java_pattern(pattern)), x.cast("string"))
 
 
 def to_timestamp(x: Column) -> Column:

@@ -16,9 +16,10 @@ def _lit(x) -> Column:
 
 
 def substring(s: Column, start, length=None) -> Column:
-    """1-based; a start below 1 counts as 1 and does not shorten the length."""
-    start = F.greatest(_lit(start), F.lit(1))
-    return F.substr(s, start) if length is None else F.substr(s, start, F.greatest(_lit(length), F.lit(0)))
+    """1-based, in bytes like LENGTH and STRPOS; a start below 1 counts as 1 and does not shorten the length."""
+    raw, start = s.cast("string").cast("binary"), F.greatest(_lit(start), F.lit(1)).cast("int")
+    part = F.substr(raw, start) if length is None else F.substr(raw, start, F.greatest(_lit(length), F.lit(0)).cast("int"))
+    return part.cast("string")
 
 
 def concat(*parts: Column) -> Column:

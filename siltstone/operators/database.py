@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import time
 import uuid
@@ -30,6 +31,8 @@ def literal(value: object) -> str:
         return str(int(value))
     if isinstance(value, (bytes, bytearray)):
         return f"X'{value.hex()}'"
+    if isinstance(value, float) and not math.isfinite(value):
+        return f"CAST('{value}' AS FLOAT)"
     return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
 
 
@@ -108,19 +111,28 @@ class Database(Store):
 
     # queries
 
-    def spark_sql(self, sql: str) -> str:
-        """The Spark SQL of an expression or query; views of what it names are made ready."""
-        for t in {t.text.lower() for t in lex(sql) if t.kind == "word"} | {unquote(t.text).lower() for t in lex(sql) if t.kind == "quoted"}:
+    def spark_sql(self, sql: str, of: str | None = None) -> str:
+        """The Spark SQL of an expression (over the table ``of``) or query; views of what it names are made ready."""
+        tokens = lex(sql)
+        named = {t.text.lower() for t in tokens if t.kind == "word"} | {unquote(t.text).lower() for t in tokens if t.kind == "quoted"}
+        for t in named:
             if t in self.state.tables:
                 self.read(t).createOrReplaceTempView(t)
             elif t in self.state.views:
                 self.spark.sql(self.spark_sql(self.state.views[t])).createOrReplaceTempView(t)
+        # The columns of what the statement names, and of no other table, decide whether a division is whole.
+        named |= {of.lower()} if of else set()
         kinds: dict[str, set[str]] = {}
-        for table in self.state.tables.values():
-            for c in table.columns:
-                kinds.setdefault(c.name.lower(), set()).add(name_of(SPARK[c.type.upper()]))
+        for n, table in self.state.tables.items():
+            if n in named:
+                for c in table.columns:
+                    kinds.setdefault(c.name.lower(), set()).add(name_of(SPARK[c.type.upper()]))
+        for v in named & set(self.state.views):
+            for f in self.spark.table(v).schema.fields:
+                kinds.setdefault(f.name.lower(), set()).add(name_of(f.dataType))
         whole = {c for c, k in kinds.items() if k == {"INT"}}
         indexed = {n: (t.tokenizer, [c.lower() for c in t.names]) for n, t in self.state.tables.items() if t.tokenizer}
+        whole = with_aliases(sql, tokens, whole)
         return Rewriter(whole, indexed).sql(grouped(sql))
 
     def _select(self, sql: str) -> DataFrame:
@@ -144,8 +156,26 @@ class Database(Store):
         if tokens[i].up == "INSERT":
             j = next(k for k in range(i, len(tokens)) if tokens[k].up == "SELECT")
             return self.execute(f"{sql[tokens[i].at : tokens[j].at]} {sql[: tokens[i].at]} {sql[tokens[j].at :]}")
+        if tokens[i].up in ("UPDATE", "DELETE"):
+            # The expressions become views for as long as the change takes.
+            names = [unquote(tokens[k].text) for k in range(1, i) if self._names_cte(tokens, k)]
+            if taken := [n for n in names if n.lower() in self.state.tables or n.lower() in self.state.views]:
+                raise Exists(taken[0])
+            for n in names:
+                self._select(f"{sql[: tokens[i].at]} SELECT * FROM {n}").createOrReplaceTempView(n)
+            try:
+                return self.execute(sql[tokens[i].at :])
+            finally:
+                for n in names:
+                    self.spark.catalog.dropTempView(n)
         return self._select(sql)
 
+    @staticmethod
+    def _names_cte(tokens: list[Token], k: int) -> bool:
+        """Whether a token of a WITH clause names an expression: it follows WITH or a comma, outside of parentheses."""
+        outside = sum((t.text == "(") - (t.text == ")") for t in tokens[:k]) == 0
+        return outside and tokens[k].kind in ("word", "quoted") and tokens[k].up != "RECURSIVE" and (tokens[k - 1].up in ("WITH", "RECURSIVE") or tokens[k - 1].text == ",")
+
     def _do_explain(self, sql, tokens):
         """One row of text: the plan, and with ANALYZE the rows and seconds of a run."""
         analyze = tokens[1].up == "ANALYZE"
@@ -432,6 +462,13 @@ class Database(Store):
                 t, columns=tuple(replace(c, name=to) if c.name == old else c for c in t.columns), primary_key=swap(t.primary_key), uniques=tuple(map(swap, t.uniques)),
                 foreign_keys=tuple(replace(f, columns=swap(f.columns)) for f in t.foreign_keys), checks=tuple(re.sub(rf"\b{re.escape(old)}\b", to, c) for c in t.checks),
             )
+            word = re.compile(rf"\b{re.escape(old)}\b")
+            follow = lambda fk: replace(fk, parent_columns=swap(fk.parent_columns)) if fk.parent.lower() == t.name.lower() else fk
+            new = replace(new, foreign_keys=tuple(map(follow, new.foreign_keys)))
+            for other in list(self.state.tables.values()):
+                if other.name != t.name:
+                    self.put(replace(other, foreign_keys=tuple(map(follow, other.foreign_keys))))
+            self.state.indexes = {k: replace(i, expr=word.sub(to, i.expr)) if i.table == t.name.lower() else i for k, i in self.state.indexes.items()}
         self.put(replace(new, parts=(self.write(df, t.name),)))
         return 0
 
@@ -461,7 +498,7 @@ class Database(Store):
         key, at = self._names(sql, tokens, end + 2) if ups[end + 2] == "(" else (t.primary_key, end + 2)
         if ups[at : at + 2] != ["DO", "NOTHING"] and ups[at : at + 3] != ["DO", "UPDATE", "SET"]:
             raise SyntaxError("expected DO NOTHING or DO UPDATE SET")
-        values = None if ups[at + 1] == "NOTHING" else self._sets(sql, tokens, at + 3, len(tokens))
+        values = None if ups[at + 1] == "NOTHING" else self._sets(sql, tokens, at + 3, len(tokens), t.name)
         return self.upsert(t.name, rows, given, list(key), values)
 
     def _literals(self, t: Table, given: list[str], sql, tokens, at, end) -> DataFrame:
@@ -475,11 +512,11 @@ class Database(Store):
             i = close + 2
         return self.spark.sql(f"SELECT * FROM VALUES {', '.join(rows)}")
 
-    def _sets(self, sql, tokens, start, end) -> dict[str, str]:
+    def _sets(self, sql, tokens, start, end, of: str) -> dict[str, str]:
         out = {}
         for part in split_top(sql, tokens, start, end):
             name, _, value = part.partition("=")
-            out[unquote(name.strip())] = self.spark_sql(value.strip())
+            out[unquote(name.strip())] = self.spark_sql(value.strip(), of)
         return out
 
     def _do_update(self, sql, tokens):
@@ -490,12 +527,13 @@ class Database(Store):
             if not depth and u == "WHERE":
                 where = i
                 break
-        values = self._sets(sql, tokens, 3, where)
-        return self.update(unquote(tokens[1].text), values, self.spark_sql(sql[tokens[where].end :]) if where < len(tokens) else None)
+        name = unquote(tokens[1].text)
+        values = self._sets(sql, tokens, 3, where, name)
+        return self.update(name, values, self.spark_sql(sql[tokens[where].end :], name) if where < len(tokens) else None)
 
     def _do_delete(self, sql, tokens):
-        where = self.spark_sql(sql[tokens[3].end :]) if len(tokens) > 3 else None
-        return self.delete(unquote(tokens[2].text), where)
+        name = unquote(tokens[2].text)
+        return self.delete(name, self.spark_sql(sql[tokens[3].end :], name) if len(tokens) > 3 else None)
 
     def run_trigger(self, statement: str, changes: DataFrame, depth: int) -> None:
         """A trigger's statement once for all changed rows, joined to what it changes by its condition."""
@@ -514,7 +552,7 @@ class Database(Store):
             self.insert(t.name, self.spark.sql(source), list(columns), depth)
             return
         t = self.table(unquote(tokens[1 if ups[0] == "UPDATE" else 2].text))
-        where = self.spark_sql(statement[tokens[ups.index("WHERE")].end :]) if "WHERE" in ups else "true"
+        where = self.spark_sql(statement[tokens[ups.index("WHERE")].end :], t.name) if "WHERE" in ups else "true"
         rows = f"_rows_{uuid.uuid4().hex}"
         self.rows(t.name).createOrReplaceTempView(rows)
         old = "named_struct(" + ", ".join(f"'{c}', `{t.name}`.`{c}`" for c in t.names) + ")"
@@ -522,7 +560,7 @@ class Database(Store):
             hit = self.spark.sql(f"SELECT DISTINCT {old} AS OLD, _rid FROM {rows} AS `{t.name}` JOIN {view} ON {where}")
             self.remove(t.name, hit, depth)
             return
-        sets = self._sets(statement, tokens, 3, ups.index("WHERE") if "WHERE" in ups else len(ups))
+        sets = self._sets(statement, tokens, 3, ups.index("WHERE") if "WHERE" in ups else len(ups), t.name)
         kinds = {c.name: SPARK[c.type.upper()].simpleString() for c in t.columns}
         new = "named_struct(" + ", ".join(f"'{c}', " + (f"CAST(({sets[c]}) AS {kinds[c]})" if c in sets else f"`{t.name}`.`{c}`") for c in t.names) + ")"
         hit = self.spark.sql(f"SELECT {old} AS OLD, {new} AS NEW, _rid FROM {rows} AS `{t.name}` JOIN {view} ON {where}")
@@ -612,18 +650,44 @@ def split_statements(sql: str) -> list[str]:
     return [s for s in out if s]
 
 
+def with_aliases(sql: str, tokens: list[Token], whole: set[str]) -> set[str]:
+    """The names of whole columns where the statement's own ``AS name`` count as well: whole only if what they name is."""
+    known = dict.fromkeys(whole, True)
+    for k, t in enumerate(tokens):
+        if t.up != "AS" or k + 1 >= len(tokens) or tokens[k + 1].kind not in ("word", "quoted"):
+            continue
+        i, depth = k, 0
+        while i > 0 and (depth or tokens[i - 1].text not in (",", "(") and tokens[i - 1].up not in ("SELECT", "DISTINCT", "FROM", "JOIN", "WITH")):
+            i -= 1
+            depth += (tokens[i].text == ")") - (tokens[i].text == "(")
+        if i and tokens[i - 1].up in ("SELECT", "DISTINCT") or i and tokens[i - 1].text == ",":
+            name = unquote(tokens[k + 1].text).lower()
+            is_whole = i < k and Rewriter({n for n, w in known.items() if w}).is_whole(sql[tokens[i].at : tokens[k - 1].end])
+            known[name] = is_whole and known.get(name, True)
+    return {n for n, w in known.items() if w}
+
+
 def grouped(sql: str) -> str:
-    """Chains of set operations grouped to the right, as the dialect has them: A EXCEPT (B EXCEPT C)."""
-    tokens, depth, cuts = lex(sql), 0, []
-    if not tokens or tokens[0].up != "SELECT":
-        return sql
+    """Chains of set operations grouped to the right, as the dialect has them: A EXCEPT (B EXCEPT C), in every query body."""
+    tokens = lex(sql)
+    out, at, i = "", 0, 0
+    while i < len(tokens):  # sub-selects and the bodies of WITH first
+        if tokens[i].text == "(" and i + 1 < len(tokens) and tokens[i + 1].up in ("SELECT", "WITH", "("):
+            j = closing(tokens, i)
+            out += sql[at : tokens[i].end] + grouped(sql[tokens[i].end : tokens[j].at])
+            at, i = tokens[j].at, j
+        i += 1
+    sql = out + sql[at:]
+    tokens, depth, cuts, start = lex(sql), 0, [], None
     for i, t in enumerate(tokens):
         depth += (t.text == "(") - (t.text == ")")
-        if not depth and t.up in ("UNION", "INTERSECT", "EXCEPT"):
+        if not depth and start is None and (t.up == "SELECT" or t.text == ")" and tokens[0].text == "("):
+            start = i
+        if not depth and start is not None and t.up in ("UNION", "INTERSECT", "EXCEPT"):
             cuts.append(i)
     if len(cuts) < 2:
         return sql
-    end = len(sql)
+    end, depth = len(sql), 0
     for i in range(cuts[-1], len(tokens)):
         depth += (tokens[i].text == "(") - (tokens[i].text == ")")
         if not depth and (tokens[i].up == "LIMIT" or tokens[i].up == "ORDER"):

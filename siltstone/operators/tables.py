@@ -133,8 +133,11 @@ class Store:
         self.state.tables[t.name.lower()] = t
 
     def rows(self, name: str) -> DataFrame:
-        """A table's rows with ``_rid``, which stays the same while the version does."""
-        return self.read(name).withColumn("_rid", F.monotonically_increasing_id())
+        """A table's rows with ``_rid``: the file and the place in it, so it does not depend on how a scan is split."""
+        if not self.table(name).parts:
+            return self.read(name).withColumn("_rid", F.lit(None).cast("struct<file:string,place:bigint>"))
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+        return self.read(name).withColumn("_rid", place)
 
     # checks
 

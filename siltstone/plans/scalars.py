@@ -43,7 +43,7 @@ _HALF = lambda: F.when(_BAL() > 0, _BAL())
 _on("q_math_greatest_least", "customer", "c_custkey", "greatest(c_acctbal, 100.5, CASE WHEN c_acctbal > 0 THEN c_acctbal END)::DOUBLE AS g, least(c_acctbal, 100.5)::DOUBLE AS l", lambda: {"g": maths.greatest(_BAL(), F.lit(100.5), _HALF()), "l": maths.least(_BAL(), F.lit(100.5))})
 
 
-@query("q_math_random")
+@query("q_math_random", "SELECT n_nationkey, true AS within FROM nation")
 def q_math_random(spark, d):
     return table(spark, d, "nation").select("n_nationkey", maths.random().alias("r")).select("n_nationkey", F.col("r").between(0, 1).alias("within"))
 
@@ -76,9 +76,12 @@ def q_dt_age(spark, d):
     return table(prepare(spark), d, "orders").select("o_orderkey", datetimes.age(c("o_orderdate"), F.lit("2002-01-01")).alias("age"))
 
 
-@query("q_dt_now")
+@query("q_dt_now", "SELECT true AS shape, true AS recent")
 def q_dt_now(spark, d):
-    return prepare(spark).range(1).select(datetimes.now().alias("now"), datetimes.extract("year", datetimes.now()).alias("y"))
+    """The present as text: its form, and that it is of this hour or the one before (a run may cross its end)."""
+    now = datetimes.now()
+    recent = datetimes.parse(now).between(F.localtimestamp() - F.expr("INTERVAL 1 HOUR"), F.localtimestamp() + F.expr("INTERVAL 1 HOUR"))
+    return prepare(spark).range(1).select(now.rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d{6}$").alias("shape"), recent.alias("recent"))
 
 
 J = json_

@@ -181,3 +181,23 @@ def test_prepared_and_binding(db):
 
 def test_splitting():
     assert split_statements("SELECT ';'; CREATE FUNCTION f() RETURNS INT AS $$ a; b $$; -- x;\nSELECT CASE WHEN 1 THEN 2 END;") == ["SELECT ';'", "CREATE FUNCTION f() RETURNS INT AS $$ a; b $$", "SELECT CASE WHEN 1 THEN 2 END"]
+
+
+def test_changes_do_not_depend_on_splits(spark, tmp_path, monkeypatch):
+    """Rows are found again though every read deals the files out anew."""
+    db = Database(spark, f"{tmp_path}/db")
+    db.execute("CREATE TABLE t (id INT PRIMARY KEY, v INT)")
+    db.insert("t", spark.range(200_000).repartition(7).selectExpr("id", "id AS v"))
+    read, sizes = db.read, iter(["1m", "40k", "200k", "10k"] * 50)
+
+    def other_splits(name):
+        db.spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return read(name)
+
+    monkeypatch.setattr(db, "read", other_splits)
+    assert db.execute("DELETE FROM t WHERE id = 100000") == 1
+    assert db.execute("UPDATE t SET v = -1 WHERE MOD(id, 50000) = 7") == 4
+    assert db.execute("INSERT INTO t VALUES (5, 0), (200000, 1) ON CONFLICT (id) DO UPDATE SET v = -2") == 2
+    got = db.query("SELECT COUNT(*), COUNT(DISTINCT id), MIN(CASE WHEN id = 100000 THEN 0 ELSE 1 END) FROM t").first()
+    assert tuple(got) == (200_000, 200_000, 1)
+    assert rows(db.query("SELECT id, v FROM t WHERE v < 0")) == [(5, -2), (7, -1), (50007, -1), (100007, -1), (150007, -1)]

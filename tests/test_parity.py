@@ -39,6 +39,5 @@ def test_matches_duckdb(spark, duck, name):
     assert not any("decimal" in t for _, t in got.dtypes)
 
 
-def test_every_query_has_a_twin_or_a_reason():
-    """Only what is random, about the present, or a plan's text goes without."""
-    assert sorted(set(QUERIES) - set(ORACLE)) == ["q_dt_now", "q_explain", "q_explain_analyze", "q_math_random"]
+def test_every_query_has_a_twin():
+    assert not set(QUERIES) - set(ORACLE)
