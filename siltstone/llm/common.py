@@ -59,6 +59,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffles, broadcasts and plans of rounds that are over; it does so when the driver collects garbage."""
+    spark._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Words in a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,18 +10,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free, ship, slices
+from .common import cut, free, ship, slices, texts, tidy
 
 #: Fingerprints that one trie holds at most; a larger trie is dealt out as pairs of parts.
 TRIE = 1 << 15
 #: Node pairs and links that are looked at in one step: this bounds a worker's memory.
 STEP = 1 << 18
-#: Slots of a sketch, one byte each: the similarity of two texts is known to about 0.035.
+#: Slots of a sketch, two bits each: the similarity of two texts is known to about 0.042.
 SLOTS = 128
 #: Bands of so many neighbouring slots each: texts that agree in a whole band are candidates, too.
 BANDS, BAND = 25, 5
 #: Shingles of the texts that one task compares exactly; a text counts as TEXT_COST more. Larger groups are dealt out as pairs of parts.
 EXACT, TEXT_COST = 1 << 20, 512
+#: Bytes of a list of texts to compare that is sent to every executor; a longer one is joined by shuffling.
+SENT = 1 << 20
 #: Words whose hashes a worker remembers; then it forgets them and starts again.
 REMEMBERED = 200_000
 
@@ -79,8 +81,14 @@ def slots(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(slots: np.ndarray) -> bytes:
-    """One byte of each slot."""
-    return (slots >> np.uint64(56)).astype(np.uint8).tobytes()
+    """Two bits of each slot, 32 bytes in all."""
+    two = (slots >> np.uint64(62)).reshape(-1, 32) << np.arange(0, 64, 2, dtype=np.uint64)
+    return np.bitwise_or.reduce(two, axis=1).astype("<u8").tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of four numbers."""
+    return np.frombuffer(b"".join(sketches), "<u8").reshape(-1, SLOTS // 32)
 
 
 def bands(slots: np.ndarray) -> list[int]:
@@ -106,8 +114,8 @@ def word_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
 
 
-def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes, int, list[int]]:
-    """(id, fp, sketch, size, bands) of a whole text: a hash of its words in order, the SimHash of its distinct words, and of its shingles a sketch, the number and bands.
+def signature(text: str | None, words: int = 5) -> tuple[int, int, int, bytes, int, list[int]]:
+    """(id, check, fp, sketch, size, bands) of a whole text: 128 bits of a hash of its words in order, the SimHash of its distinct words, and of its shingles a sketch, the number and bands.
 
     A changed word changes one of the distinct words but ``words`` shingles, so near copies agree in more
     bits of this fingerprint than of one over shingles. A passage that is cut or put in changes many words at
@@ -116,46 +124,51 @@ def signature(text: str | None, words: int = 5) -> tuple[int, int, bytes, int, l
     import xxhash
 
     tokens = (text or "").encode().lower().split()
-    own = xxhash.xxh64_intdigest(b" ".join(tokens), 9)
-    own = own - (1 << 64) if own >> 63 else own
+    own, check = np.frombuffer(xxhash.xxh128_digest(b" ".join(tokens), 9), np.int64).tolist()
     if not tokens:
-        return own, 0, bytes(SLOTS), 0, []
+        return own, check, 0, bytes(SLOTS // 4), 0, []
     h = word_hashes(tokens)
     grams = shingles(h, words)
     at = slots(grams)
-    return own, bits(np.unique(h)), sketch(at), len(grams), bands(at)
+    return own, check, bits(np.unique(h)), sketch(at), len(grams), bands(at)
 
 
 def alike(sketches: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs may be that similar: not those of too different sizes, nor those whose sketches show five standard errors less.
 
-    Few shingles fill few slots, whose neighbours repeat them: a text counts as a third as many slots as it has shingles.
+    Two bits agree by chance in a quarter of the slots that hold other shingles. Few shingles fill few
+    slots, whose neighbours repeat them: a text counts as a third as many slots as it has shingles.
     """
     small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
-    least = similarity - 5 * np.sqrt(similarity * (1 - similarity) / np.clip(small / 3, 1, SLOTS))
-    share = [np.zeros(0)] + [(sketches[a[i : i + 8192]] == sketches[b[i : i + 8192]]).mean(1) for i in range(0, len(a), 8192)]
+    agree = 0.25 + 0.75 * similarity
+    least = agree - 5 * np.sqrt(agree * (1 - agree) / np.clip(small / 3, 1, SLOTS))
+    share = [np.zeros(0)]
+    for i in range(0, len(a), 1 << 16):
+        off = sketches[a[i : i + (1 << 16)]] ^ sketches[b[i : i + (1 << 16)]]
+        off = (off | off >> np.uint64(1)) & np.uint64(0x5555555555555555)
+        share.append(1 - np.bitwise_count(off).sum(1) / SLOTS)
     return (small >= similarity * large * (1 - 1e-12)) & (np.concatenate(share) >= least)
 
 
 def fingerprints(docs: DataFrame, words: int = 4, doc_id: str = "doc_id", text: str = "text", similar: bool = False) -> DataFrame:
-    """One row (doc_id, row, id, fp) for each document, with sketch, size and bands if ``similar``.
+    """One row (doc_id, row, id, check, fp) for each document, with sketch, size and bands if ``similar``.
 
-    ``row`` is a hash of id and text; ``id`` tells apart what is linked: fingerprints, or texts if ``similar``.
+    ``row`` is a hash of id and text; ``id`` and ``check`` tell apart what is linked: fingerprints, or texts if ``similar``.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
-            texts = b.column("text").to_pylist()
+            whole = texts(b.column("text"))
             if similar:
-                got = [signature(t, words) for t in texts]
-                more = [pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())))]
+                got = [signature(t, words) for t in whole]
+                more = [pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64())))]
             else:
-                more = [pa.array([fingerprint(t, words) for t in texts], pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *more], names=["doc_id", "row", "id", "fp", "sketch", "size", "bands"][: 7 if similar else 4])
+                more = [pa.array([fingerprint(t, words) for t in whole], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *more], names=["doc_id", "row", "id", "check", "fp", "sketch", "size", "bands"][: 8 if similar else 5])
 
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, row long, id long, fp long" + ", sketch binary, size int, bands array<long>" * similar)
+    return narrow.mapInArrow(run, "doc_id long, row long, id long, check long, fp long" + ", sketch binary, size int, bands array<long>" * similar)
 
 
 def blocks(distance: int, agree: int) -> list[tuple[int, int]]:
@@ -327,7 +340,7 @@ def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = N
                 if own.any():
                     keys[own], width = squeezed(prints[own], [cuts[c] for c in range(len(cuts)) if c not in k])
                     top = max(top, width)
-            s = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS) if extra else None
+            s = unpacked(t.column("sketch").to_pylist()) if extra else None
             sizes = t.column("size").to_numpy() if extra else None
             u, v = join_tries(t.column("task").to_numpy(), t.column("side").to_numpy(), t.column("id").to_numpy(), keys, top - 1, distance, s, sizes, similarity or 0.0)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -357,14 +370,18 @@ def squeezed(prints: np.ndarray, cuts: list[tuple[int, int]]) -> tuple[np.ndarra
     return out, width
 
 
-def exact_forest(ids: list[int], sides: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of all pairs (within side 0, or across the sides if there are two) whose Jaccard is at least the similarity."""
+def exact_forest(ids: list[int], sides: list[int], roots: list[int], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of all pairs (within side 0, or across the sides if there are two) whose Jaccard is at least the similarity.
+
+    Texts with the same root are linked already: such pairs are not looked at, and an edge is between roots.
+    Where none are linked yet, within one side, the forest is of stars: each text with its component's root.
+    """
     first = {(s, i): at for at, (s, i) in reversed(list(enumerate(zip(sides, ids, strict=True))))}
     at = sorted(first.values(), key=lambda j: (sides[j], ids[j]))
     names, sets = [ids[j] for j in at], [sets[j] for j in at]
     zeros = sum(sides[j] == 0 for j in at)
-    sketches = np.stack([np.frombuffer(sketch(slots(x)) if len(x) else bytes(SLOTS), np.uint8) for x in sets])
-    sizes, root, out = np.array([len(x) for x in sets]), np.arange(len(sets)), []
+    sketches = unpacked([sketch(slots(x)) if len(x) else bytes(SLOTS // 4) for x in sets])
+    sizes, root, out = np.array([len(x) for x in sets]), np.array([roots[j] for j in at]), []
     for i in range(zeros):
         others = np.arange(i + 1 if zeros == len(sets) else zeros, len(sets))
         others = others[root[others] != root[i]]
@@ -372,49 +389,97 @@ def exact_forest(ids: list[int], sides: list[int], sets: list[np.ndarray], simil
             if root[j] != root[i]:
                 both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if both / max(len(sets[i]) + len(sets[j]) - both, 1) >= similarity:
-                    out.append((names[i], names[j]))
+                    out.append((root[i].item(), root[j].item()))
                     root[root == root[j]] = root[i]
+    if zeros == len(sets) and roots == ids:
+        return [(n, r) for n, r in zip(names, root.tolist(), strict=True) if n != r]
     return out
 
 
-def exact_links(docs: DataFrame, members: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Edges (u, v) between texts of one group whose sets of shingles are that similar, by their exact Jaccard: a spanning forest of all.
-
-    ``docs`` is (row, text); ``members`` (id, row, size, comp) names the texts of each group ``comp``. All pairs
-    within a group are decided from whole texts, unless size or sketch rule them out. A task holds texts of
-    about EXACT shingles; a larger group is dealt out as pairs of parts.
-    """
+def compared(docs: DataFrame, dealt: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Edges (u, v) between the texts of one task, for rows (doc_id, row, id, root, task, side) of ``dealt``."""
     spark = docs.sparkSession
-    members = cut(members)
-    parts = members.groupBy("comp").agg(F.ceil(F.sum(F.col("size") + TEXT_COST) / EXACT).cast("int").alias("parts"))
-    dealt = members.join(parts, "comp").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    task, side = F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int")
-    met = docs.join(dealt.select("row", "id", task.alias("task"), side.alias("side")), "row").select("task", "side", "id", "text")
-    met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "task").sortWithinPartitions("task")
     ship(spark)
+    dealt = dealt.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "id", "root", "task", "side")
+    if dealt.count() * 64 <= SENT:  # then texts that no task asks for are not shuffled
+        dealt = F.broadcast(dealt)
+    met = docs.join(dealt, (docs["row"] == dealt["r"]) & docs["doc_id"].eqNullSafe(dealt["d"])).select("task", "side", "id", "root", "text")
+    met = met.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, sides, sets = None, [], [], []
+        now: int | None = None
+        held: tuple[list, ...] = ([], [], [], [])
         found: list[tuple[int, int]] = []
         for b in slices(batches, "text"):
-            for t, s, i, text in zip(*(b.column(c).to_pylist() for c in ("task", "side", "id", "text")), strict=True):
+            for t, s, i, root, text in zip(*(b.column(c).to_pylist() for c in ("task", "side", "id", "root")), texts(b.column("text")), strict=True):
                 if t != now:
-                    if ids:
-                        found += exact_forest(ids, sides, sets, similarity)
-                    now, ids, sides, sets = t, [], [], []
-                ids.append(i)
-                sides.append(s)
-                sets.append(shingles(word_hashes((text or "").encode().lower().split()), words))
+                    if now is not None:
+                        found += exact_forest(*held, similarity)
+                    now, held = t, ([], [], [], [])
+                for x, y in zip(held, (i, s, root, shingles(word_hashes((text or "").encode().lower().split()), words)), strict=True):
+                    x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in found], pa.int64()) for j in range(2)], names=["u", "v"])
             found = []
-        if ids:
-            found = exact_forest(ids, sides, sets, similarity)
+        if now is not None:
+            found = exact_forest(*held, similarity)
             yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in found], pa.int64()) for j in range(2)], names=["u", "v"])
 
     return met.mapInArrow(run, "u long, v long").distinct()
 
 
+def in_parts(members: DataFrame) -> DataFrame:
+    """``members`` with the number of parts of EXACT shingles that their group has, and the part each is in."""
+    parts = members.groupBy("comp").agg(F.ceil(F.sum(F.col("size") + TEXT_COST) / EXACT).cast("int").alias("parts"))
+    return members.drop("parts", "own").join(parts, "comp").withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int"))
+
+
+def in_pairs(members: DataFrame) -> DataFrame:
+    """Every pair of parts of a group as a task."""
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    task, side = F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")), (F.col("own") > F.col("other")).cast("int")
+    return met.withColumn("task", task).withColumn("side", side)
+
+
+def exact_links(docs: DataFrame, members: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(node, root) of the texts of each group: one root for all that are linked, by an exact Jaccard of their sets of shingles.
+
+    ``docs`` is (doc_id, row, text); ``members`` (id, doc_id, row, size, comp) names the texts of each group ``comp``. All pairs
+    within a group are decided from whole texts, unless size or sketch rule them out or both are linked
+    already. A task holds texts of about EXACT shingles. A larger group is compared within parts first,
+    then by one text of each component that its parts have found. That joins a group of near copies, however
+    large, while each text moves once. If more than one component is left, all texts outside the
+    largest meet every part of it; if those are more than a task holds, all pairs of parts meet.
+    """
+
+    def rooted(rows: DataFrame, stars: DataFrame) -> DataFrame:
+        """``rows`` with the root that theirs has in ``stars``."""
+        stars = stars.toDF("node", "to")
+        return cut(rows.join(stars, rows["root"] == stars["node"], "left").withColumn("root", F.coalesce("to", "root")).drop("node", "to"))
+
+    members = cut(in_parts(members.withColumn("root", F.col("id"))))
+    within = members.withColumn("task", F.xxhash64("comp", "own")).withColumn("side", F.lit(0))
+    members = rooted(members, compared(docs, within, similarity, words))
+    tidy(docs.sparkSession)
+    done, many = members.where("parts = 1").select("id", "root"), members.where("parts > 1")
+    if not many.limit(1).count():
+        return done.toDF("node", "root")
+    reps = cut(in_parts(many.where("id = root")))
+    found = compared(docs, in_pairs(reps), similarity, words)
+    many = rooted(many, components(found) if reps.where("parts > 1").limit(1).count() else found)
+    weight = many.groupBy("comp", "root").agg(F.sum(F.col("size") + TEXT_COST).alias("weight"))
+    left = weight.groupBy("comp").agg(F.max_by("root", "weight").alias("main"), (F.sum("weight") - F.max("weight")).alias("rest")).where("rest > 0")
+    open_ = cut(many.join(left, "comp"))
+    if open_.limit(1).count():
+        few, rest = open_.where(F.col("rest") <= EXACT), open_.where(F.col("rest") > EXACT)
+        part = F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(-1), F.col("parts") - 1))
+        few = few.withColumn("other", F.explode(part)).withColumn("task", F.xxhash64("comp", "other")).withColumn("side", ((F.col("root") != F.col("main")) & (F.col("other") >= 0)).cast("int"))
+        names = ["doc_id", "row", "id", "root", "task", "side"]
+        found = cut(compared(docs, few.select(names).union(in_pairs(rest).select(names)), similarity, words))
+        if found.limit(1).count():
+            many = rooted(many, components(found))
+    return done.union(many.select("id", "root")).toDF("node", "root")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v), with the smallest node of its component as root.
 
@@ -443,6 +508,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not now[0]:
             break
         e = cut(step(cut(step(e, True)), False))
+        tidy(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -461,16 +527,21 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similari
     """
     prints = cut(fingerprints(docs, words, doc_id, text, similarity is not None))
     more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch", "size", "bands")]
-    distinct = cut(prints.groupBy("id").agg(*more, F.min("doc_id").alias("first"), F.min("row").alias("row")))
-    stars = components(trie_links(distinct.drop("first", "row"), distance, similarity))
+    # Of different texts with one id, which 64 bits can't rule out, one stands for it; the others stay unlinked.
+    one = F.min(F.struct("check", F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one")
+    first = F.min(F.struct("check", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"))).alias("first")
+    distinct = cut(prints.groupBy("id").agg(*more, one, first))
+    stars = components(trie_links(distinct.drop("first", "one"), distance, similarity))
     if similarity is not None:  # so far groups of candidates
         groups = stars.select(F.col("node").alias("id"), F.col("root").alias("comp")).union(stars.select("root", "root").distinct())
-        texts = docs.select(F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-        stars = components(exact_links(texts, distinct.select("id", "row", "size").join(groups, "id"), similarity, words))
-    rooted = cut(distinct.join(stars, distinct["id"] == stars["node"], "left").select("id", "first", F.coalesce("root", "id").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(cut(least), "root").select("id", "root", "component_id")
-    return prints.join(named, "id").select("doc_id", "row", "id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
+        whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
+        stars = exact_links(whole, distinct.select("id", "one.doc_id", "one.row", "size").join(groups, "id"), similarity, words)
+    rooted = cut(distinct.join(stars, distinct["id"] == stars["node"], "left").select("id", F.col("one.check").alias("check"), F.col("first.d").alias("d"), F.coalesce("root", "id").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
+    named = rooted.join(cut(least), "root").select("id", "check", "root", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")).alias("component_id"))
+    out = prints.join(named, ["id", "check"], "left")
+    root, own = F.coalesce("root", F.xxhash64("id", "check")), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "row", "id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), root.alias("root"), own.alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, similarity: float | None = 0.8) -> DataFrame:
@@ -483,8 +554,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, sim
     """
     found = near_duplicates(docs, words, distance, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
-    row, kept_row = free(docs, "_row", "_kept_row")
-    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.row").alias(kept_row))
+    row, kept_id, kept_row = free(docs, "_row", "_kept_id", "_kept_row")
+    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.row").alias(kept_row))
     marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    kept = marked.join(keep, marked[row] == keep[kept_row], "left_semi")
-    return kept.dropDuplicates([row]).select(*[docs[c] for c in docs.columns])
+    kept = marked.join(keep, (marked[row] == keep[kept_row]) & marked["doc_id"].cast("long").eqNullSafe(keep[kept_id]), "left_semi")
+    return kept.dropDuplicates(["doc_id", row]).select(*[docs[c] for c in docs.columns])
