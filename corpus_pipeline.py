@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontam, mixing, quality, simhash, substring
-from siltstone.llm.common import fold, shared_dir, table
+from siltstone.llm.common import cut, fold, remove_folder, shared_dir, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines and sentences that earlier ones hold; those that lose all their words go."""
+    """Documents without lines and sentences that earlier ones hold, and without those that have no words then.
+
+    A text that was blank from the start goes as well; a null text, of which nothing is known, stays.
+    """
     out = substring.drop_repeats(docs, report=False)
     return out.where(F.col("text").isNull() | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -56,11 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; a stage's rows are removed when the next one's are there."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}")
-            docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
+    out = cut(STAGES[-1][1](spark, docs, sf_dir))
+    remove_folder(spark, folder)
+    return out
