@@ -308,6 +308,7 @@ def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = N
         narrow = nodes.select("id", F.posexplode("bands").alias("band", "value")).select("id", (F.col("band") + len(kinds)).alias("kind"), "value")
         shared = narrow.groupBy("kind", "value").count().where("count > 1").select("kind", "value")
         met = cut(narrow.join(shared, ["kind", "value"]))
+        tidy(spark)
         keyed = keyed.union(met.join(nodes, "id").select(keyed.columns))
     # At most n / TRIE nodes of each kind are large.
     large = keyed.groupBy("kind", "value").count().where(F.col("count") > TRIE)
@@ -400,6 +401,7 @@ def compared(docs: DataFrame, dealt: DataFrame, similarity: float, words: int) -
     """Edges (u, v) between the texts of one task, for rows (doc_id, row, id, root, task, side) of ``dealt``."""
     spark = docs.sparkSession
     ship(spark)
+    tidy(spark)
     dealt = dealt.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), "id", "root", "task", "side")
     if dealt.count() * 64 <= SENT:  # then texts that no task asks for are not shuffled
         dealt = F.broadcast(dealt)
@@ -469,7 +471,6 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, words: i
     weight = many.groupBy("comp", "root").agg(F.sum(F.col("size") + TEXT_COST).alias("weight"))
     left = weight.groupBy("comp").agg(F.max_by("root", "weight").alias("main"), (F.sum("weight") - F.max("weight")).alias("rest")).where("rest > 0")
     open_ = cut(many.join(left, "comp"))
-    tidy(docs.sparkSession)
     if open_.limit(1).count():
         few, rest = open_.where(F.col("rest") <= EXACT), open_.where(F.col("rest") > EXACT)
         part = F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(-1), F.col("parts") - 1))
@@ -539,6 +540,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similari
         whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
         stars = exact_links(whole, distinct.select("id", "one.doc_id", "one.row", "size").join(groups, "id"), similarity, words)
     rooted = cut(distinct.join(stars, distinct["id"] == stars["node"], "left").select("id", F.col("one.check").alias("check"), F.col("first.d").alias("d"), F.coalesce("root", "id").alias("root")))
+    tidy(docs.sparkSession)
     least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
     named = rooted.join(cut(least), "root").select("id", "check", "root", F.when(F.col("component_id") < (1 << 63) - 1, F.col("component_id")).alias("component_id"))
     out = prints.join(named, ["id", "check"], "left")
