@@ -163,7 +163,10 @@ def train(docs: DataFrame, labels: DataFrame, learn_on: Column, sample: int = SA
     rows = whole.join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, at array<long>, v array<double>").toArrow()
     order = np.argsort([zlib.crc32(str(i).encode()) for i in rows.column("doc_id").to_pylist()], kind="stable")
     at, v, y = rows.column("at"), rows.column("v"), rows.column("y")
-    return fit([(at[i].values.to_numpy(), v[i].values.to_numpy(), y[i].as_py()) for i in order.tolist()])
+    model = fit([(at[i].values.to_numpy(), v[i].values.to_numpy(), y[i].as_py()) for i in order.tolist()])
+    del rows, at, v, y
+    pa.default_memory_pool().release_unused()  # else the n-grams' memory stays with the driver
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
