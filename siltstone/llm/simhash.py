@@ -493,7 +493,8 @@ def components(edges: DataFrame) -> DataFrame:
     def step(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select("v", "u")) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        met = both.join(cut(low), "u")  # cut, so that both sides are plain shuffles, whose hot keys Spark splits
+        key = low.select(F.col("u").bitwiseXOR(F.lit(0)).alias("w"), "m")  # hides how it is dealt, so that both sides are plain shuffles, whose hot keys Spark splits
+        met = both.join(key, both["u"] == key["w"]).drop("w")
         if large:
             out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
