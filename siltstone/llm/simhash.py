@@ -516,6 +516,22 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def linked(docs: DataFrame, words: int, distance: int, similarity: float | None, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prints, distinct, stars) of ``near_duplicates``: a row for each document, one for each different text or fingerprint, and roots of linked ones."""
+    prints = cut(fingerprints(docs, words, doc_id, text, similarity is not None))
+    more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch", "size", "bands")]
+    # Of different texts with one id, which 64 bits can't rule out, one stands for it; the others stay unlinked.
+    one = F.min(F.struct("check", F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one")
+    first = F.min(F.struct("check", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"))).alias("first")
+    distinct = cut(prints.groupBy("id").agg(*more, one, first, F.max("check").alias("last")))
+    stars = components(trie_links(distinct.drop("first", "one", "last"), distance, similarity))
+    if similarity is not None:  # so far groups of candidates
+        groups = stars.select(F.col("node").alias("id"), F.col("root").alias("comp")).union(stars.select("root", "root").distinct())
+        whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
+        stars = exact_links(whole, distinct.select("id", "one.doc_id", "one.row", "size").join(groups, "id"), similarity, words)
+    return prints, distinct, stars
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similarity: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (doc_id, row, id, fp, fingerprint, root, component_id) for each document.
 
@@ -529,17 +545,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, distance: int = 4, similari
     than a shingle make one shingle. Rows with a null doc_id are linked too but are no component's id
     unless it has no other (then it is null). Repeated rows are kept. An empty table gives an empty result.
     """
-    prints = cut(fingerprints(docs, words, doc_id, text, similarity is not None))
-    more = [F.first(c).alias(c) for c in prints.columns if c in ("fp", "sketch", "size", "bands")]
-    # Of different texts with one id, which 64 bits can't rule out, one stands for it; the others stay unlinked.
-    one = F.min(F.struct("check", F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("one")
-    first = F.min(F.struct("check", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"))).alias("first")
-    distinct = cut(prints.groupBy("id").agg(*more, one, first))
-    stars = components(trie_links(distinct.drop("first", "one"), distance, similarity))
-    if similarity is not None:  # so far groups of candidates
-        groups = stars.select(F.col("node").alias("id"), F.col("root").alias("comp")).union(stars.select("root", "root").distinct())
-        whole = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(doc_id, text).alias("row"), F.col(text).alias("text"))
-        stars = exact_links(whole, distinct.select("id", "one.doc_id", "one.row", "size").join(groups, "id"), similarity, words)
+    prints, distinct, stars = linked(docs, words, distance, similarity, doc_id, text)
     rooted = cut(distinct.join(stars, distinct["id"] == stars["node"], "left").select("id", F.col("one.check").alias("check"), F.col("first.d").alias("d"), F.coalesce("root", "id").alias("root")))
     tidy(docs.sparkSession)
     least = rooted.groupBy("root").agg(F.min("d").alias("component_id"))
@@ -557,10 +563,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 7, sim
     the smaller hash of the text; of rows that are equal in id and text one stays. Returns the columns of
     ``docs``.
     """
-    found = near_duplicates(docs, words, distance, similarity)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row"))
+    prints, distinct, stars = linked(docs, words, distance, similarity, "doc_id", "text")
     row, kept_id, kept_row = free(docs, "_row", "_kept_id", "_kept_row")
-    keep = found.groupBy("root").agg(first.alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.row").alias(kept_row))
+    ranked = F.min(F.struct("none", "doc_id", "row")).alias("k")
+    roots = distinct.join(stars, distinct["id"] == stars["node"], "left").select("one.*", F.coalesce("root", "id").alias("root"))
+    first = roots.groupBy("root").agg(ranked).select("k.*")
+    # different texts with one id: those that it doesn't stand for are groups of their own
+    lone = prints.join(distinct.where(F.col("one.check") != F.col("last")).select("id", F.col("one.check").alias("own")), "id").where(F.col("check") != F.col("own"))
+    lone = lone.withColumn("none", F.col("doc_id").isNull()).groupBy("id", "check").agg(ranked).select("k.*")
+    keep = cut(first.union(lone).select(F.col("doc_id").alias(kept_id), F.col("row").alias(kept_row)))
+    tidy(docs.sparkSession)
     marked = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     kept = marked.join(keep, (marked[row] == keep[kept_row]) & marked["doc_id"].cast("long").eqNullSafe(keep[kept_id]), "left_semi")
     return kept.dropDuplicates(["doc_id", row]).select(*[docs[c] for c in docs.columns])
