@@ -24,8 +24,10 @@ BANDS, BAND = 25, 5
 EXACT, TEXT_COST = 1 << 20, 512
 #: Bytes of a list of texts to compare that is sent to every executor; a longer one is joined by shuffling.
 SENT = 1 << 20
-#: Words whose hashes a worker remembers; then it forgets them and starts again.
-REMEMBERED = 200_000
+#: Bytes of a text whose words are hashed in one step, and of a word; a digest stands for a longer one.
+HASHED, LONG = 1 << 18, 1 << 12
+#: Powers of an odd number, one for each place in a word.
+POWERS = np.cumprod(np.full(LONG, 0x9FB21C651E98DF25, np.uint64))
 
 
 def bits(hashes: np.ndarray) -> int:
@@ -52,21 +54,43 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return bits(np.array([h64(line[a:b], 42) for a, b in zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64))
 
 
-class Words(dict):
-    """Word -> its 64-bit hash, made when first asked for."""
+def words_of(text: str | None) -> bytes:
+    """The words of a whole text, lower-cased, with single spaces between them."""
+    import xxhash
+
+    tokens = (text or "").encode().lower().split()  # bytes: A-Z and ASCII white space only
+    if tokens and max(map(len, tokens)) > LONG:
+        tokens = [t if len(t) <= LONG else xxhash.xxh128_hexdigest(t, 7).encode() for t in tokens]
+    return b" ".join(tokens)
+
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The numbers with all their bits mixed, one to one."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
 
-        if len(self) > REMEMBERED:
-            self.clear()
-        got = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= 64:
-            self[word] = got
-        return got
 
+def word_hashes(line: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of ``words_of``, in order: a polynomial in its bytes, mixed."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(line):
+        end = len(line) if len(line) - at <= HASHED else line.rindex(b" ", at, at + HASHED)
+        b = np.frombuffer(line, np.uint8, end - at, at)
+        gaps = np.flatnonzero(b == 32)
+        starts = np.concatenate(([0], gaps + 1))
+        lengths = np.diff(starts, append=len(b) + 1)
+        value = (b + np.uint64(1)) * POWERS[np.minimum(np.arange(len(b)) - np.repeat(starts, lengths)[: len(b)], LONG - 1)]
+        value[gaps] = 0
+        h = mixed(np.add.reduceat(value, starts))
+        out.append(mixed((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)))
+        at = end + 1
+    return np.concatenate(out)
 
-_words = Words()
+
+def distinct_of(h: np.ndarray) -> np.ndarray:
+    """The different ones of some hashes, sorted."""
+    h = np.sort(h)
+    return h[np.concatenate((np.ones(min(len(h), 1), bool), h[1:] != h[:-1]))]
 
 
 def slots(shingles: np.ndarray) -> np.ndarray:
@@ -106,12 +130,7 @@ def shingles(h: np.ndarray, words: int) -> np.ndarray:
     grams = h[: len(h) - k + 1].copy()
     for j in range(1, k):
         grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + h[j : len(h) - k + 1 + j]
-    grams = (grams ^ (grams >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(grams ^ (grams >> np.uint64(29)))
-
-
-def word_hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
+    return distinct_of(mixed(grams))
 
 
 def signature(text: str | None, words: int = 5) -> tuple[int, int, int, bytes, int, list[int]]:
@@ -123,14 +142,14 @@ def signature(text: str | None, words: int = 5) -> tuple[int, int, int, bytes, i
     """
     import xxhash
 
-    tokens = (text or "").encode().lower().split()
-    own, check = np.frombuffer(xxhash.xxh128_digest(b" ".join(tokens), 9), np.int64).tolist()
-    if not tokens:
+    line = words_of(text)
+    own, check = np.frombuffer(xxhash.xxh128_digest(line, 9), np.int64).tolist()
+    if not line:
         return own, check, 0, bytes(SLOTS // 4), 0, []
-    h = word_hashes(tokens)
+    h = word_hashes(line)
     grams = shingles(h, words)
     at = slots(grams)
-    return own, check, bits(np.unique(h)), sketch(at), len(grams), bands(at)
+    return own, check, bits(distinct_of(h)), sketch(at), len(grams), bands(at)
 
 
 def alike(sketches: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
@@ -418,7 +437,7 @@ def compared(docs: DataFrame, dealt: DataFrame, similarity: float, words: int) -
                     if now is not None:
                         found += exact_forest(*held, similarity)
                     now, held = t, ([], [], [], [])
-                for x, y in zip(held, (i, s, root, shingles(word_hashes((text or "").encode().lower().split()), words)), strict=True):
+                for x, y in zip(held, (i, s, root, shingles(word_hashes(words_of(text)), words)), strict=True):
                     x.append(y)
             yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in found], pa.int64()) for j in range(2)], names=["u", "v"])
             found = []
