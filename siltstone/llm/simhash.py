@@ -24,6 +24,8 @@ BANDS, BAND = 25, 5
 EXACT, TEXT_COST = 1 << 20, 512
 #: Bytes of a list of texts to compare that is sent to every executor; a longer one is joined by shuffling.
 SENT = 1 << 20
+#: Links whose components one task finds (about 300 MB of a worker's memory); more are taken by steps over all tasks.
+LINKS = 1 << 21
 #: Bytes of a text whose words are hashed in one step, and of a word; a digest stands for a longer one.
 HASHED, LONG = 1 << 18, 1 << 12
 #: Powers of an odd number, one for each place in a word.
@@ -197,6 +199,18 @@ def blocks(distance: int, agree: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots, each the smallest of its component, once ``a`` and ``b`` are linked as well."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        new = ra != rb
+        a, b, ra, rb = a[new], b[new], ra[new], rb[new]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while not np.array_equal(step := root[root], root):
+            root = step
+    return root
+
+
 class Forest:
     """Sorted runs of fingerprints as binary tries, and which of the fingerprints are linked so far."""
 
@@ -212,13 +226,7 @@ class Forest:
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         if not len(a):
             return
-        while len(a):
-            ra, rb = self.root[a], self.root[b]
-            new = ra != rb
-            a, b, ra, rb = a[new], b[new], ra[new], rb[new]
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not np.array_equal(step := self.root[self.root], self.root):
-                self.root = step
+        self.root = hooked(self.root, a, b)
         self.settle()
 
     def one(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -286,7 +294,7 @@ class Forest:
 
 
 def join_tries(group: np.ndarray, side: np.ndarray, ids: np.ndarray, keys: np.ndarray, top: int, budget: int, sketches: np.ndarray | None, sizes: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Star edges of what links within each group (side 0 with itself) or across its sides (0 with 1)."""
+    """Star edges of what links within each group (side 0 with itself) or across its sides (0 with 1), to the smallest id, so that groups that link the same give the same."""
     order = np.lexsort((keys, side, group))
     group, side, keys, ids = group[order], side[order], keys[order], ids[order]
     run = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (side[1:] != side[:-1]))))
@@ -297,8 +305,11 @@ def join_tries(group: np.ndarray, side: np.ndarray, ids: np.ndarray, keys: np.nd
     crossed = (after > first) & (group[run[after]] == group[run[first]]) & (side[run[after]] == 1)
     b = np.where(crossed, after, first)
     forest.join(run[first], stop[first], run[b], stop[b], top, budget)
-    far = np.flatnonzero(forest.root != np.arange(len(ids)))
-    return ids[far], ids[forest.root[far]]
+    least = ids.copy()
+    np.minimum.at(least, forest.root, ids)
+    least = least[forest.root]
+    far = np.flatnonzero(least != ids)
+    return ids[far], least[far]
 
 
 def trie_links(nodes: DataFrame, distance: int = 4, similarity: float | None = None) -> DataFrame:
@@ -504,7 +515,8 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, words: i
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v), with the smallest node of its component as root.
 
-    Alternates large-star and small-star steps until the edges are stars; each step's edges are kept in
+    Up to LINKS edges are taken by one task, as each step over all tasks costs the driver jobs and their
+    memory. More edges alternate large-star and small-star steps until they are stars; each step's edges are kept in
     the shared folder. Minima are pre-aggregated where the rows are, so a hub is no hot spot for them, and
     joins are of plain shuffles, so that a hub's edges can be split over tasks.
     """
@@ -525,8 +537,23 @@ def components(edges: DataFrame) -> DataFrame:
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).union(e.select("v", F.lit(0), F.lit(1)))
         return not ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 OR out = 1 AND in = 1").limit(1).count()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches if b.num_rows]
+        if held:
+            names, at = np.unique(np.concatenate([u for u, _ in held] + [v for _, v in held]), return_inverse=True)
+            root = hooked(np.arange(len(names)), at[: len(at) // 2], at[len(at) // 2 :])
+            far = np.flatnonzero(root != np.arange(len(names)))
+            for i in range(0, len(far), STEP):
+                yield pa.RecordBatch.from_arrays([pa.array(names[far[i : i + STEP]]), pa.array(names[root[far[i : i + STEP]]])], names=["node", "root"])
+
     e = cut(edges.where("u <> v"))
-    if e.limit(1).count():
+    links = e.count()
+    if 0 < links <= LINKS:
+        ship(e.sparkSession)
+        out = cut(e.coalesce(1).mapInArrow(run, "node long, root long"))
+        tidy(e.sparkSession)
+        return out
+    if links:
         while True:
             e = cut(step(cut(step(e, True)), False))
             tidy(e.sparkSession)

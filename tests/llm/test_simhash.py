@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from siltstone.llm import simhash as S
@@ -190,3 +191,30 @@ def test_cut_and_inserted_passages_are_candidates(spark):
     assert len(docs) > 60 and far > 10
     kept = {x["doc_id"] for x in S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == {i for i, _ in docs if i % 2 == 0}
+
+
+def test_groups_that_link_the_same_give_the_same_edges():
+    """A group's edges go to its smallest id, however its fingerprints are sorted, so one that many tasks find stays one star."""
+    ids, zeros = np.array([30, 10, 20, -5]), np.zeros(4, np.int64)
+    for keys in ([1, 2, 3, 255 << 40], [3, 1, 2, 255 << 40], [2, 3, 1, 255 << 40]):
+        u, v = S.join_tries(zeros, zeros, ids, np.array(keys, np.uint64), 63, 3, None, None, 0.0)
+        assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == [(20, 10), (30, 10)]
+
+
+@pytest.mark.parametrize("links", [1 << 21, 100])
+def test_components_of_chains_and_hubs(spark, monkeypatch, links):
+    """Chains, hubs, repeated links and links to itself, by one task and by steps; the first takes few jobs, however long the chains."""
+    monkeypatch.setattr(S, "LINKS", links)
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(np.arange(-300, 300))
+    edges = list(zip(chain[:-1].tolist(), chain[1:].tolist(), strict=True)) + [(5000, k) for k in range(1000, 1200)] + [(7, 7), (9000, 9000), (8000, 8001), (8001, 8000)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    spark.sparkContext.setJobGroup(f"components-{links}", "")
+    try:
+        got = {r["node"]: r["root"] for r in S.components(df).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{links}"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {k: -300 for k in range(-299, 300)} | {k: 1000 for k in [*range(1001, 1200), 5000]} | {8001: 8000}
+    assert links == 100 or jobs <= 8
+    assert S.components(df.limit(0)).count() == 0
